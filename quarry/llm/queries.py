@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, sharding
+from quarry.llm import contamination, exact_dedup, sharding
 from quarry.llm.common import parquet
 
 
@@ -32,9 +32,41 @@ FROM t WINDOW w AS (PARTITION BY x)
 """
 
 
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination.report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
+), n AS (SELECT DISTINCT n FROM bw), m AS (
+  SELECT doc_id, s, dw.n, item_id
+  FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, n WHERE len(w) >= n)) dw
+  JOIN bw USING (g, n)
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM m GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_virtual_slots, op6_chunk_recipes)}
+    return {f.__name__: f for f in (op1_virtual_slots, op6_chunk_recipes, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chunk_recipes": OP6_SQL}
+    return {"op6_chunk_recipes": OP6_SQL, "op10_positional_index": OP10_SQL}
