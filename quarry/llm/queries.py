@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import contamination, exact_dedup, sharding
+from quarry.llm import bpe, contamination, exact_dedup, sharding
 from quarry.llm.common import parquet
 
 
@@ -17,6 +17,10 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(parquet(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.groups(parquet(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -65,7 +69,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_virtual_slots, op6_chunk_recipes, op10_positional_index)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op6_chunk_recipes, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
