@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries that a worker keeps at most, pieces in hand at a time, and characters of texts in hand.
 KEPT, PIECES, CHARS = 400_000, 400_000, 2_000_000
@@ -115,9 +116,7 @@ def batches(stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     """Slices of record batches with the texts of their column ``text``, null as empty, that have
     about CHARS bytes of text or a single row."""
     for whole in stream:
-        sizes = np.diff(np.asarray(pa.compute.binary_length(whole.column("text")).fill_null(0)).cumsum(), prepend=0)
-        at = 0
-        group = np.cumsum(sizes) // CHARS
+        at, group = 0, np.cumsum(np.asarray(pc.binary_length(whole.column("text")).fill_null(0), np.int64)) // CHARS
         for cut in [*np.flatnonzero(np.diff(group)) + 1, whole.num_rows]:
             if cut > at:
                 part = whole.slice(at, cut - at)
