@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, contamination, exact_dedup, records, sharding
+from quarry.llm import bpe, contamination, exact_dedup, records, sharding, wordpiece
 from quarry.llm.common import parquet
 
 
@@ -41,6 +41,10 @@ def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count(parquet(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
     return out.select(
@@ -74,7 +78,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op6_chunk_recipes, op8_record_files, op10_positional_index)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op6_chunk_recipes, op8_record_files, op9_piece_counts, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
