@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, contamination, exact_dedup, records, sharding, wordpiece
+from quarry.llm import bpe, contamination, exact_dedup, near_dup, records, sharding, wordpiece
 from quarry.llm.common import parquet
 
 
@@ -36,6 +36,11 @@ FROM t WINDOW w AS (PARTITION BY x)
 """
 
 
+def op7_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.join(parquet(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
+
+
 def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write(parquet(spark, sf_dir, "documents"), records.fresh_folder(spark))
     return records.read(manifest).withColumnRenamed("id", "doc_id")
@@ -78,7 +83,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op6_chunk_recipes, op8_record_files, op9_piece_counts, op10_positional_index)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op6_chunk_recipes, op7_bayes_jaccard, op8_record_files, op9_piece_counts, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
