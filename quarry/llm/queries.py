@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, contamination, exact_dedup, near_dup, records, sharding, toxicity, wordpiece
+from quarry.llm import bpe, contamination, exact_dedup, near_dup, quality, records, sharding, toxicity, wordpiece
 from quarry.llm.common import parquet
 
 
@@ -28,6 +28,13 @@ def op4_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, of = parquet(spark, sf_dir, "documents"), toxicity.remainder
+    model = quality.train(docs, parquet(spark, sf_dir, "labels"), of(F.col("doc_id"), 3) != 1)
+    out = quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.groups(parquet(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -90,7 +97,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op4_nb_ngrams, op6_chunk_recipes, op7_bayes_jaccard, op8_record_files, op9_piece_counts, op10_positional_index)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op4_nb_ngrams, op5_pairwise_gam, op6_chunk_recipes, op7_bayes_jaccard, op8_record_files, op9_piece_counts, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,7 +46,6 @@ class NGrams:
     def places(self, text: str) -> np.ndarray:
         """The places of the text's n-grams, each once."""
         found, kept = [], max(self.orders) - 1
-        self.mark[:] = -1 if self.now > 1 << 62 else self.mark
         first = self.now
         text = text.lower()
         for at in range(0, max(1, len(text)), PART):
@@ -139,14 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     return fit(*sample(docs, labels, label_col, learn, most, id_col, text_col))
 
 
-def scored(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], id_col: str, text_col: str, *keep: str) -> DataFrame:
+def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], Iterable[float]]], id_col: str, text_col: str, *keep: str) -> DataFrame:
     """id, score, and the columns to keep."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for part, texts in pretokens.batches(stream):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([score(t) for t in texts], pa.float64()), *(part.column(k) for k in keep)], ["id", "score", *keep])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score(texts), pa.float64()), *(part.column(k) for k in keep)], ["id", "score", *keep])
 
     types = dict(docs.dtypes)
     return own.mapInArrow(run, ", ".join(["id long", "score double", *(f"{k} {types[k]}" for k in keep)]))
@@ -156,9 +155,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, score (0 to 1), and the columns to keep. The model, 4 * 2**BITS bytes, is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scorer() -> Callable[[str], float]:
+    def scorer() -> Callable[[list[str]], Iterable[float]]:
         grams, own = NGrams(), held.value
-        return lambda text: own.score(grams, text)
+        return lambda texts: [own.score(grams, t) for t in texts]
 
     return scored(docs, scorer, id_col, text_col, *keep)
 
