@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, contamination, exact_dedup, near_dup, quality, records, sharding, toxicity, wordpiece
+from quarry.llm import bpe, contamination, exact_dedup, licenses, near_dup, quality, records, sharding, toxicity, wordpiece
 from quarry.llm.common import parquet
 
 
@@ -21,6 +21,39 @@ def op2_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(parquet(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(parquet(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: The templates' words are told to SQL as text; the SQL itself compares every line with all of them.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), w AS (
+  SELECT doc_id, x, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
+), p(phrase, label) AS (VALUES {phrases}), t(name, label, notice) AS (VALUES {templates}),
+t2 AS (SELECT name, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw FROM t),
+m AS (
+  SELECT doc_id, s - 1 AS s, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM w) , p
+  WHERE array_to_string(w[s:s + len(string_split(phrase, ' ')) - 1], ' ') = phrase
+), b AS (
+  SELECT doc_id, count(*) AS n, min(s) AS a, max(s) AS z, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM m GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS lw FROM d
+), hit AS (
+  SELECT doc_id, label, len(list_intersect(lw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, t2
+  WHERE len(list_intersect(lw, tw)) >= ceil({threshold} * len(tw) - 1e-9)
+), ls AS (
+  SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id
+), sc AS (SELECT doc_id, max(c) AS c FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+       coalesce(b.l, '') AS base_labels, coalesce(ls.l, '') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN sc USING (doc_id)
+""".replace("{phrases}", ", ".join(f"('{a}', '{b}')" for a, b in licenses.PHRASES.items())).replace(
+    "{templates}", ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(licenses.TEMPLATES))
+).replace("{threshold}", str(licenses.THRESHOLD))
+
+
 def op4_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, of = parquet(spark, sf_dir, "documents"), toxicity.remainder
     model = toxicity.train(docs, parquet(spark, sf_dir, "labels"), of(F.col("doc_id"), 4) != 2)
@@ -97,8 +130,8 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op4_nb_ngrams, op5_pairwise_gam, op6_chunk_recipes, op7_bayes_jaccard, op8_record_files, op9_piece_counts, op10_positional_index)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_matrix_bpe, op3_template_join, op4_nb_ngrams, op5_pairwise_gam, op6_chunk_recipes, op7_bayes_jaccard, op8_record_files, op9_piece_counts, op10_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chunk_recipes": OP6_SQL, "op10_positional_index": OP10_SQL}
+    return {"op3_template_join": OP3_SQL, "op6_chunk_recipes": OP6_SQL, "op10_positional_index": OP10_SQL}
