@@ -1,24 +1,56 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+All stages but the last filter rows and return the columns of documents; the last returns each
+remaining document's token ids in digest. Toxicity drops what it scores at 0.3 or more, with a model
+of the labelled rows; exact deduplication keeps the row with the largest doc_id of equal texts; the
+n-gram Jaccard join keeps the row with the least doc_id of each class; decontamination drops rows
+that hold ten consecutive words of a benchmark item.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup
+from quarry.llm import bpe, contamination, exact_dedup, near_dup, toxicity
 from quarry.llm.common import parquet, written
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, parquet(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.drop_toxic(docs, model, 0.3)
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", distinct_texts)]
+def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(docs)
+
+
+def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(docs, parquet(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("exact dedup", distinct_texts),
+    ("n-gram Jaccard join", distinct_shingles),
+    ("benchmark decontamination", not_benchmark),
+    ("byte-level BPE", encoded),
+]
 
+#: Neither the classifier nor BPE can be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{number}")
     return docs
