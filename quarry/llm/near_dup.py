@@ -45,7 +45,7 @@ from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
-BLOCK, BUCKETS = 1000, 1 << 18
+BLOCK, BUCKETS = 1000, 1 << 20
 #: Pairs that are compared together, and words whose hashes a worker keeps.
 PAIRS, KEPT = 100_000, 500_000
 #: Fixed values of the word rule, on the bytes of a text whose A-Z are lower-cased.
@@ -329,7 +329,7 @@ def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, to
                 ["set", "other", "links"],
             )
 
-    bucket = F.pmod(F.col("row"), F.lit(BUCKETS)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).alias("bucket")
     kept = F.broadcast(nodes.select(bucket).distinct())  # BUCKETS rows at most
     texts = docs.select("*", bucket).join(kept, "bucket", "left_semi").drop("bucket", "id")
     total = nodes.groupBy("component").agg(F.count("*").alias("total"))
