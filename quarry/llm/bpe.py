@@ -172,7 +172,7 @@ def codec(path: str) -> Codec:
 
 @functools.lru_cache(maxsize=2)
 def _table(path: str) -> pretokens.Table:
-    return pretokens.Table(lambda pieces: codec(path).encode_pieces([p.encode() for p in pieces]))
+    return pretokens.Table(lambda pieces: codec(path).encode_pieces(pieces))
 
 
 def default_path() -> str:
@@ -187,9 +187,14 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def encode_texts(texts: Iterable[str], path: str, pattern: str) -> Iterator[np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _splitter(pattern: str) -> pretokens.Splitter:
+    return pretokens.byte_level(pattern)
+
+
+def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:
     """The ids of each text, int32."""
-    return pretokens.by_text(texts, pretokens.splitter(pattern), _table(path))
+    return pretokens.by_text(texts, _splitter(pattern), _table(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -198,7 +203,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream):
-            ids = list(encode_texts(texts, path, pattern))
+            ids = encode_texts(texts, path, pattern)
             ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])

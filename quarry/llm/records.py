@@ -106,17 +106,21 @@ class Encoding:
         self.by_piece = plain.get("normalizer") is None and steps == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": steps.get("trim_offsets"), "use_regex": True}
         import public_tokenizers
 
-        self.split = pretokens.splitter(public_tokenizers.PATTERN) if self.by_piece else lambda text: [text]
-        self.table = pretokens.Table(self._make, pretokens.KEPT if self.by_piece else 0)
-
-    def _make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.split = pretokens.byte_level(public_tokenizers.PATTERN)
+        byte = {i: len(t) for t, i in plain["model"]["vocab"].items()} if self.by_piece else {}  # a character a byte
+        self.bytes = np.array([byte.get(i, 0) for i in range(max(byte, default=0) + 1)], np.int64)
+        self.table = pretokens.Table(self._make)
+
+    def _make(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library gives the ids of all pieces in a row; bytes tell where each piece ends."""
+        found = np.array(self.tokenizer.encode_batch_fast([[p.decode() for p in pieces]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum([len(p) for p in pieces])
+        upto = np.searchsorted(np.cumsum(self.bytes[found]), ends, "left") + 1
+        return found, np.diff(upto, prepend=0)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
-            ids = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-            return np.array([y for x in ids for y in x], np.int32), np.array([len(x) for x in ids])
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+            return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return pretokens.by_text(texts, self.split, self.table)
 
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -130,15 +129,28 @@ class Automaton:
 def table(path: str) -> pretokens.Table:
     automaton = Automaton(*pieces_of(path))
 
-    def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return automaton.counts([w.encode() for w in words]), np.ones(len(words), np.int64)
+    def make(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return automaton.counts(words), np.ones(len(words), np.int64)
 
     return pretokens.Table(make)
 
 
-def split(text: str) -> Iterable[str]:
-    by = re.compile(WORD)
-    return by.findall(text) if len(text) <= pretokens.CHARS else (m.group() for m in by.finditer(text))
+def cut_plain(texts: list[bytes]) -> pretokens.Cut:
+    """What WORD finds in plain texts: runs of letters, digits and _, other characters singly."""
+    raw, ends = pretokens.joined(texts)
+    kind = np.where(raw == 95, pretokens.LETTER, pretokens.CLASS[raw])
+    kind[kind == pretokens.DIGIT] = pretokens.LETTER
+    begins = np.ones(len(raw), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == pretokens.OTHER)
+    cut = pretokens.marked(raw, begins, ends)
+    words = kind[cut.starts] != pretokens.SPACE
+    text = np.repeat(np.arange(len(ends)), cut.counts)[words]
+    return pretokens.Cut(raw, cut.starts[words], cut.lengths[words], np.bincount(text, minlength=len(ends)))
+
+
+@functools.lru_cache(maxsize=1)
+def splitter() -> pretokens.Splitter:
+    return pretokens.Splitter(WORD, cut_plain)
 
 
 def default_path() -> str:
@@ -153,7 +165,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream):
-            found = [(len(x), int(np.abs(x).sum()), int((x < 0).sum())) for x in pretokens.by_text(texts, split, table(path))]
+            found = [(len(x), int(np.abs(x).sum()), int((x < 0).sum())) for x in pretokens.by_text(texts, splitter(), table(path))]
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n_words", "n_tokens", "n_unknown"])
 
