@@ -39,7 +39,7 @@ def next_link(header: Column) -> Column:
     links = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda x: F.split(F.trim(x), ";"))
 
     def rel(fields: Column) -> Column:
-        own = F.filter(F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), F.trim), lambda f: f.startswith("rel="))
+        own = F.filter(F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), lambda f: F.trim(f)), lambda f: f.startswith("rel="))
         return F.regexp_replace(F.substring(F.try_element_at(own, F.lit(-1)), 5, 1 << 20), '^"+|"+$', "")
 
     def target(fields: Column) -> Column:
@@ -64,7 +64,7 @@ def excerpt(message: Column, most: int = 200) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def hashed(seed, *parts: Column) -> Column:

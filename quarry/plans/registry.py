@@ -1,17 +1,367 @@
-"""The engine's own queries by name, and the SQL that each must agree with."""
+"""The engine's own queries by name, over the driver's tables, and the SQL that each must agree with.
+
+Go sources are made in the queries, from the rows of ``part``; what their streams must be is written
+out in SQL from the scheme, not computed by the tokenizer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text, vocab
+from quarry.functions.shared import shared_path, written
+from quarry.operators import acquire, metrics, pack, tokenize
+from quarry.plans import prepare
+from quarry.streaming import incremental
+
+BLOCK = 64
+#: Tags whose nesting the page queries follow.
+TAGS = ("html", "head", "body", "title", "style", "script", "nav", "ul", "li", "a", "div", "article", "h1", "h2", "p", "b", "table", "tr", "td", "footer")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- Go sources from part ---
+def go_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey, path, content: a source for each part, one of five kinds, by its size."""
+    part, size = _table(spark, sf_dir, "part"), F.col("p_size")
+    n = size % 7
+
+    def times(s: str, count: Column) -> Column:
+        return F.repeat(F.lit(s), count.cast("int"))
+
+    nested = F.concat(F.lit("package p\nfunc F(a int) int {\n"), times("if a > 0 {\n", n), F.lit("a++\n"), times("}\n", n), F.lit("return a\n}\n"))
+    struct = F.concat(F.lit("package p\ntype S struct {\n"), times("_ string\n", n + 1), F.lit("}\n"))
+    fresh = F.concat(F.lit("package p\nfunc F() {\n"), times("x := 1\n", n + 60), F.lit("}\n"))
+    wrong = F.concat(F.lit("package p\nfunc F( {\n"), times("x := 1\n", n))
+    chain = F.concat(F.lit("package p\nvar v = 1"), times(" + 1", n), F.lit("\n"))
+    kind = size % 5
+    content = F.when(kind == 0, nested).when(kind == 1, struct).when(kind == 2, fresh).when(kind == 3, wrong).otherwise(chain)
+    return part.select("p_partkey", F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), content.alias("content"))
+
+
+#: p_partkey, path and tokens, joined by spaces; null for sources that are refused.
+GO_EXPECTED = """
+go AS (
+  SELECT p_partkey, 'src/' || p_partkey || '.go' AS path, CASE p_size % 5
+    WHEN 0 THEN 'BOS OPEN_FUNC_DECL NAME_0 OPEN_FUNC_TYPE OPEN_PARAMS OPEN_FIELD NAME_1 T_INT CLOSE_FIELD CLOSE_PARAMS OPEN_RESULTS OPEN_FIELD T_INT CLOSE_FIELD CLOSE_RESULTS CLOSE_FUNC_TYPE OPEN_BLOCK'
+      || repeat(' OPEN_IF OPEN_BINOP NAME_1 OP_GTR INT_LIT CLOSE_BINOP OPEN_BLOCK', p_size % 7) || ' OPEN_INCDEC NAME_1 OP_INC CLOSE_INCDEC'
+      || repeat(' CLOSE_BLOCK CLOSE_IF', p_size % 7) || ' OPEN_RETURN NAME_1 CLOSE_RETURN CLOSE_BLOCK CLOSE_FUNC_DECL EOF'
+    WHEN 1 THEN 'BOS OPEN_TYPE_DECL OPEN_TYPE_SPEC NAME_0 OPEN_STRUCT_TYPE' || repeat(' OPEN_FIELD FIELD_0 T_STRING CLOSE_FIELD', p_size % 7 + 1) || ' CLOSE_STRUCT_TYPE CLOSE_TYPE_SPEC CLOSE_TYPE_DECL EOF'
+    WHEN 2 THEN 'BOS OPEN_FUNC_DECL NAME_0 OPEN_FUNC_TYPE OPEN_PARAMS CLOSE_PARAMS CLOSE_FUNC_TYPE OPEN_BLOCK'
+      || array_to_string(list_transform(range(1, p_size % 7 + 61), lambda i: ' OPEN_ASSIGN ' || CASE WHEN i < 64 THEN 'NAME_' || i ELSE 'NAME_OVF' END || ' OP_DEFINE INT_LIT CLOSE_ASSIGN'), '')
+      || ' CLOSE_BLOCK CLOSE_FUNC_DECL EOF'
+    WHEN 3 THEN NULL
+    ELSE 'BOS OPEN_VAR_DECL OPEN_VALUE_SPEC NAME_0' || repeat(' OPEN_BINOP', p_size % 7) || ' INT_LIT' || repeat(' OP_ADD INT_LIT CLOSE_BINOP', p_size % 7) || ' CLOSE_VALUE_SPEC CLOSE_VAR_DECL EOF'
+  END AS tokens FROM part
+), files AS (
+  SELECT *, len(string_split(tokens, ' ')) AS n, CASE WHEN ('0x' || substr(md5('0:' || path), 1, 8))::BIGINT < 214748364 THEN 'val' ELSE 'train' END AS split,
+         md5('0:' || path) AS k FROM go WHERE tokens IS NOT NULL
+)"""
+
+
+def go_tokens_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenize.tokenized(go_sources(spark, sf_dir))
+    return found.select("p_partkey", F.col("error").isNull().alias("ok"), F.array_join("tokens", " ").alias("tokens"), F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"))
+
+
+def go_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenize.encoded(tokenize.accepted(tokenize.tokenized(go_sources(spark, sf_dir))))
+    return metrics.with_balance(found).select("p_partkey", F.array_join("ids", ",").alias("ids"), F.round("balance", 6).alias("balance"), "strict")
+
+
+def go_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")).totals
+
+
+def go_pack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")).packed.select("path", "split", "start", "n")
+
+
+def go_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")).quarantine.select("path", F.col("error").startswith("2:").alias("at_line_2"))
+
+
+def go_vocab_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenize.accepted(tokenize.tokenized(go_sources(spark, sf_dir)))
+    return tokenize.unknown_tokens(found)
+
+
+def go_bin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = written(prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")).packed.filter("split = 'train'"), "train")
+    parts = written(pack.write_bin(packed, shared_path(spark, "train-bin")), "parts")
+    return pack.read_bin(parts, 1024).select("block", F.array_join("ids", ",").alias("ids"))
+
+
+# --- vocabulary ---
+def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.table(spark)
+
+
+def vocab_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.pairs(spark)
+
+
+def vocab_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.duplicates(_table(spark, sf_dir, "part").select(F.col("p_name").alias("token")))
+
+
+def vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("view",), ("click",), ("purchase",)], "event_type string")
+    return _table(spark, sf_dir, "events").select("event_type").distinct().join(known, "event_type", "left_anti")
+
+
+# --- acquisition ---
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listed files: a quarter .go, a quarter .GO, the rest otherwise or without a dot."""
+    docs, k = _table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(k == 0, ".go").when(k == 1, ".x.GO").when(k == 2, ".py").otherwise(""))
+    return docs.select("doc_id", name.alias("name"), F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("n_chars")).alias("size"),
+                       F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("u/"), F.col("source"))).alias("download_url"))
+
+
+def size_ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir).filter(text.wanted(F.col("name"), F.col("size"), F.col("download_url"), max_bytes=5000)).select("doc_id", "name", text.extension(F.col("name")).alias("extension"))
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_extract(url, "//([^/]*)", 1)
+
+
+def seen_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts in order of their first page; those of French pages were seen before."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", _host(F.col("url")).alias("full_name"), "url")
+    seen = pages.filter(F.col("url").contains("/fr/")).select("full_name").distinct()
+    return acquire.new_repositories(pages, seen, ("page_id",)).select("page_id", "full_name")
+
+
+def slug_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, url, k = _table(spark, sf_dir, "pages"), F.col("url"), F.col("page_id") % 5
+    link = F.when(k == 0, F.concat(F.lit("<"), url, F.lit('>; rel="next", <z>; rel="last"'))).when(k == 1, F.concat(F.lit('<a>; rel="prev", <'), url, F.lit(">; rel=next"))) \
+        .when(k == 2, F.concat(F.lit("<"), url, F.lit('>; rel="prev"'))).when(k == 3, F.concat(url, F.lit('; rel="next"'))).otherwise(F.lit(""))
+    return pages.select("page_id", text.slug(_host(url)).alias("slug_host"), text.slug(F.regexp_extract(url, "//(.*)", 1)).alias("slug"), text.contents_root(F.concat(url, F.lit("/contents/{+path}"))).alias("root"), text.next_link(link).alias("next"))
+
+
+def search_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", text.search_url("https://host", F.concat(F.lit("language:Go "), "p_name"), F.col("p_size")).alias("url"))
+
+
+def repo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages as JSON, a page a nation, whose items are its customers; parsed again."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), F.struct(
+        F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.concat(F.lit("o/"), "c_name")).alias("full_name"), F.concat(F.lit("h/"), "c_name", F.lit("/contents/{+path}")).alias("contents_url")).alias("item"))
+    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.collect_list("item").alias("items"))).alias("body"))
+    return acquire.repositories(pages).select("page", "full_name", "slug", "contents_url")
+
+
+def contents_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, languages and pages as folders, folders and files; listed level by level from the hosts."""
+    pages = _table(spark, sf_dir, "pages").withColumn("host", _host(F.col("url"))).withColumn("lang", F.split("url", "/")[3])
+    folder, file = F.concat_ws("/", "host", "lang"), F.concat(F.col("page_id").cast("string"), F.lit(".go"))
+    none = F.lit(None)
+    listing = pages.select("host", F.lit("dir").alias("type"), F.col("lang").alias("name"), none.cast("string").alias("path"), folder.alias("url"), F.col("host").alias("parent")).distinct() \
+        .unionByName(pages.select("host", F.lit("file").alias("type"), file.alias("name"), F.concat_ws("/", "lang", file).alias("path"), F.col("url"), folder.alias("parent")))
+    roots = pages.select(F.col("host").alias("slug"), F.col("host").alias("url")).distinct()
+
+    def lister(level: DataFrame) -> DataFrame:
+        return level.select("slug", F.col("url").alias("parent")).join(listing, "parent").select("slug", "type", "name", "path", "url", F.lit(1).cast("long").alias("size"), F.col("url").alias("download_url"))
+
+    found = acquire.wanted_files(acquire.expand(roots, lister), "out")
+    return found.select("slug", "depth", "save_path", "download_url")
+
+
+def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("host/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/v"), F.col("p_size").cast("string"))).otherwise(""), F.when(F.col("p_size") % 6 == 0, "/v2").otherwise(""))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.import_name(path).alias("name"))
+
+
+# --- split and pack ---
+def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.split(F.col("doc_id")).alias("split"), text.order_key(0, F.col("doc_id")).alias("order_key"))
+
+
+def split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.totals(_table(spark, sf_dir, "documents").select(text.split(F.col("doc_id")).alias("split"), F.col("n_chars").alias("n")))
+
+
+def pack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pack.running_total(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", "end")
+    return own.select("doc_id", (F.col("end") - F.col("n_chars")).alias("start"), "end")
+
+
+def _word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos, id: the lengths of the words of all conversations, in order of conversation and turn."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.length(w)).alias("ids"))
+    turns = turns.withColumn("n", F.size("ids").cast("long"))
+    return pack.running_total(turns, "conv_id", "n", "end", "turn").select(F.lit("all").alias("split"), (F.col("end") - F.col("n")).alias("start"), "ids").transform(pack.positions)
+
+
+_WORDS_SQL = """
+w AS (
+  SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), 1) AS k FROM conversations
+), s AS (SELECT row_number() OVER (ORDER BY conv_id, turn, k) - 1 AS pos, length(word) AS id FROM w)"""
+
+
+def block_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack.training_blocks(_word_lengths(spark, sf_dir).drop("split"), BLOCK)
+    return out.select("block", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
+def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(pack.blocks(_word_lengths(spark, sf_dir).drop("split"), BLOCK), "blocks")
+    return pack.sampled_windows(own, BLOCK).select("number", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
+def stream_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a flat stream, in which a first turn begins a new one."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 0, "BOS").otherwise("TURN").alias("token"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line"))
+    return tokenize.streams(turns, "line").groupBy("stream_no").agg(F.count("*").alias("n"), F.min("conv_id").alias("conv_id"))
+
+
+# --- metrics ---
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, tags: a page's tags in order, closing ones with their slash."""
+    found = F.regexp_extract_all("html", F.lit(f"<(/?(?:{'|'.join(TAGS)}))[ >]"), F.lit(1))
+    return _table(spark, sf_dir, "pages").select("page_id", found.alias("tags"))
+
+
+_TAGS_SQL = f"""
+t AS (SELECT page_id, regexp_extract_all(html, '<(/?(?:{"|".join(TAGS)}))[ >]', 1) AS tags FROM pages),
+e AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM t)"""
+
+
+def html_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.with_balance(_tags(spark, sf_dir), "tags", {t: f"/{t}" for t in TAGS}).select("page_id", F.round("balance", 6).alias("balance"), "strict")
+
+
+def html_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _tags(spark, sf_dir).select("page_id", F.posexplode("tags").alias("pos", "tag"))
+    change = F.when(F.col("tag").startswith("/"), -1).otherwise(1)
+    return metrics.depths(each, "page_id", "pos", change).groupBy("page_id").agg(F.max("depth").alias("max_depth"), F.count("*").alias("n_tags"), F.sum(change).alias("end_depth"))
+
+
+def first_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first list of each page: its tags, and its items."""
+    each = _tags(spark, sf_dir).select("page_id", F.posexplode("tags").alias("pos", "tag"))
+    return metrics.first_subtree(each, "page_id", "pos", "tag", "ul", "/ul").groupBy("page_id").agg(F.count("*").alias("n_tags"), F.count_if(F.col("tag") == "li").alias("n_items"))
+
+
+def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.round(metrics.learning_rate(F.col("o_orderkey")) * 1e4, 6).alias("lr_e4"))
+
+
+def interval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("step"), "value")
+    return metrics.interval_means(own, "step", "value").select("interval", F.round("mean", 6).alias("mean"))
+
+
+def interval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return metrics.interval_latency(own, "step", "t").select("interval", F.round(F.col("latency") * 1e6, 1).alias("latency_us"))
+
+
+def eval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mean_of_first(_table(spark, sf_dir, "events"), "event_id", "value").select(F.round("mean", 6).alias("mean"))
+
+
+def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "x")).withColumn("logit", F.floor(F.col("x").cast("double") * 100))
+    return metrics.top_k(each, "vec_id", "logit", 40).select("vec_id", "idx", "logit", "rank")
+
+
+def softmax_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = text.hashed(7, F.col("vec_id")) / F.lit(2.0**32)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", metrics.draw(metrics.softmax(F.col("embedding"), 0.5), u).alias("drawn"))
+
+
+def xent_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "embeddings").select("label", metrics.cross_entropy(F.col("embedding"), F.col("label")).alias("loss"))
+    return own.groupBy("label").agg(F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("n"))
+
+
+# --- streaming ---
+def stream_new_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts taken once by a stream over the pages that is run twice."""
+    path, out, checkpoint = f"{sf_dir}/pages.parquet", shared_path(spark, "hosts"), shared_path(spark, "stream")
+    schema = spark.read.parquet(path).schema
+    for _ in range(2):
+        rows = spark.readStream.schema(schema).parquet(path if _folder(spark, path) else f"{path}*")
+        incremental.new_names(rows.select(_host(F.col("url")).alias("host")), "host", out, checkpoint).awaitTermination()
+    return spark.read.schema("host string").parquet(out)
+
+
+def _folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return prepare.balance_by_file(prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")))
+
+
+QUERIES = (
+    go_tokens_template, go_token_ids, go_token_totals, go_pack_offsets, go_quarantine, go_vocab_drift, go_bin_round_trip,
+    vocab_ids, vocab_pairs, vocab_duplicates, vocab_coverage,
+    size_ext_filter, seen_anti, slug_link, search_url, repo_pages, contents_recursive, import_names,
+    split_hash, split_totals, pack_offsets, block_cut, window_sample, stream_partition,
+    html_balance, html_depth, first_list, lr_schedule, interval_mean, interval_latency, eval_mean, topk_ties, softmax_draw, xent_mean,
+    stream_new_hosts,
+)
+
+_TOKENS_SQL = "SELECT unnest([" + ", ".join(f"'{t}'" for t in vocab.TOKENS) + f"]) AS token, unnest(range({len(vocab.TOKENS)})) AS i"
+_HOST = "regexp_extract(url, '//([^/]*)', 1)"
+
+ORACLE = {
+    "go_tokens_template": f"WITH {GO_EXPECTED} SELECT p_partkey, tokens IS NOT NULL AS ok, tokens, CAST(coalesce(len(string_split(tokens, ' ')), 0) AS BIGINT) AS n_tokens FROM go",
+    "go_token_ids": f"WITH {GO_EXPECTED}, v AS ({_TOKENS_SQL}), e AS (SELECT p_partkey, unnest(string_split(tokens, ' ')) AS token, generate_subscripts(string_split(tokens, ' '), 1) AS k FROM files) SELECT p_partkey, string_agg(CAST(i AS VARCHAR), ',' ORDER BY k) AS ids, 1.0::DOUBLE AS balance, true AS strict FROM e JOIN v USING (token) GROUP BY p_partkey",
+    "go_token_totals": f"WITH {GO_EXPECTED} SELECT split, count(*) AS files, CAST(sum(n) AS BIGINT) AS tokens FROM files GROUP BY split",
+    "go_pack_offsets": f"WITH {GO_EXPECTED} SELECT path, split, CAST(sum(n) OVER (PARTITION BY split ORDER BY k, path) - n AS BIGINT) AS start, CAST(n AS BIGINT) AS n FROM files",
+    "go_quarantine": f"WITH {GO_EXPECTED} SELECT path, true AS at_line_2 FROM go WHERE tokens IS NULL",
+    "go_vocab_drift": "SELECT CAST('' AS VARCHAR) AS token, CAST(0 AS BIGINT) AS n WHERE false",
+    "go_bin_round_trip": f"WITH {GO_EXPECTED}, v AS ({_TOKENS_SQL}), e AS (SELECT k, path, unnest(string_split(tokens, ' ')) AS token, generate_subscripts(string_split(tokens, ' '), 1) AS j FROM files WHERE split = 'train'), s AS (SELECT row_number() OVER (ORDER BY k, path, j) - 1 AS pos, token FROM e) SELECT CAST(pos // 1024 AS BIGINT) AS block, string_agg(CAST(i AS VARCHAR), ',' ORDER BY pos) AS ids FROM s JOIN v USING (token) GROUP BY 1",
+    "vocab_ids": f"SELECT CAST(i AS INTEGER) AS id, token FROM ({_TOKENS_SQL})",
+    "vocab_pairs": "SELECT CAST(101 + 2 * k AS INTEGER) AS open_id, CAST(102 + 2 * k AS INTEGER) AS close_id FROM (SELECT unnest(range(50)) AS k)",
+    "vocab_duplicates": "SELECT p_name AS token, count(*) AS count FROM part GROUP BY p_name HAVING count(*) > 1",
+    "vocab_coverage": "SELECT DISTINCT event_type FROM events EXCEPT SELECT unnest(['view', 'click', 'purchase'])",
+    "size_ext_filter": "SELECT doc_id, 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.go' ELSE '.x.GO' END AS name, 'go' AS extension FROM documents WHERE doc_id % 4 < 2 AND (doc_id % 5 = 0 OR n_chars <= 5000) AND doc_id % 11 <> 0",
+    "seen_anti": f"SELECT min(page_id) AS page_id, {_HOST} AS full_name FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url LIKE '%/fr/%' AND regexp_extract(q.url, '//([^/]*)', 1) = regexp_extract(p.url, '//([^/]*)', 1)) GROUP BY 2",
+    "slug_link": f"SELECT page_id, replace({_HOST}, '/', '__') AS slug_host, replace(regexp_extract(url, '//(.*)', 1), '/', '__') AS slug, url || '/contents/' AS root, CASE WHEN page_id % 5 < 2 THEN url END AS next FROM pages",
+    "search_url": "SELECT p_partkey, 'https://host/search/repositories?q=language%3AGo+' || replace(p_name, ' ', '+') || '&per_page=30&page=' || p_size AS url FROM part",
+    "repo_pages": "SELECT c_nationkey AS page, 'o/' || c_name AS full_name, 'o__' || c_name AS slug, 'h/' || c_name || '/contents/' AS contents_url FROM customer WHERE c_custkey % 10 <> 0",
+    "contents_recursive": f"SELECT {_HOST} AS slug, 1 AS depth, 'out/' || {_HOST} || '/' || string_split(url, '/')[4] || '/' || page_id || '.go' AS save_path, url AS download_url FROM pages",
+    "import_names": "SELECT p_partkey, string_split(p_name, ' ')[-1] AS name FROM part",
+    "split_hash": "SELECT doc_id, CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT < 214748364 THEN 'val' ELSE 'train' END AS split, md5('0:' || doc_id) AS order_key FROM documents",
+    "split_totals": "SELECT CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT < 214748364 THEN 'val' ELSE 'train' END AS split, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents WHERE n_chars > 0 GROUP BY 1",
+    "pack_offsets": "SELECT doc_id, CAST(sum(n_chars) OVER w - n_chars AS BIGINT) AS start, CAST(sum(n_chars) OVER w AS BIGINT) AS \"end\" FROM documents WINDOW w AS (ORDER BY doc_id)",
+    "block_cut": f"WITH {_WORDS_SQL}, n AS (SELECT pos, id, lead(id) OVER (ORDER BY pos) AS y FROM s) SELECT CAST(pos // {BLOCK} AS BIGINT) AS block, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS x, string_agg(CAST(y AS VARCHAR), ',' ORDER BY pos) AS y FROM n GROUP BY 1 HAVING count(y) = {BLOCK}",
+    "window_sample": f"WITH {_WORDS_SQL}, a AS (SELECT list(id ORDER BY pos) AS ids, count(*) AS n FROM s), d AS (SELECT ids, unnest(range(n // {BLOCK})) AS number, n FROM a), e AS (SELECT ids, number, ('0x' || substr(md5('0:' || number), 1, 8))::BIGINT % (n - {BLOCK} - 1) AS start FROM d) SELECT number, start, array_to_string(ids[start + 1:start + {BLOCK}], ',') AS x, array_to_string(ids[start + 2:start + {BLOCK} + 1], ',') AS y FROM e",
+    "stream_partition": "WITH s AS (SELECT conv_id, CAST(sum(CASE WHEN turn = 0 THEN 1 ELSE 0 END) OVER (ORDER BY conv_id, turn) AS BIGINT) AS stream_no FROM conversations) SELECT stream_no, count(*) AS n, min(conv_id) AS conv_id FROM s WHERE stream_no > 0 GROUP BY stream_no",
+    "html_balance": f"""WITH RECURSIVE {_TAGS_SQL}, f AS (
+        SELECT page_id, 0::BIGINT AS pos, []::VARCHAR[] AS stack, 0 AS ok, 0 AS total, false AS bad FROM t
+        UNION ALL
+        SELECT f.page_id, f.pos + 1, CASE WHEN tag[1] = '/' THEN stack[:len(stack) - 1] ELSE list_append(stack, '/' || tag) END,
+               ok + CASE WHEN tag[1] = '/' AND stack[-1] = tag THEN 1 ELSE 0 END, total + CASE WHEN tag[1] = '/' THEN 0 ELSE 1 END,
+               bad OR (tag[1] = '/' AND (len(stack) = 0 OR stack[-1] <> tag))
+        FROM f JOIN e ON f.page_id = e.page_id AND f.pos = e.pos)
+        SELECT page_id, round(CASE WHEN total = 0 THEN 1.0 ELSE ok / total END, 6)::DOUBLE AS balance, NOT bad AND len(stack) = 0 AS strict FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) = 1""",
+    "html_depth": f"WITH {_TAGS_SQL}, d AS (SELECT page_id, CASE WHEN tag[1] = '/' THEN -1 ELSE 1 END AS c, CAST(sum(CASE WHEN tag[1] = '/' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS depth FROM e) SELECT page_id, max(depth) AS max_depth, count(*) AS n_tags, CAST(sum(c) AS BIGINT) AS end_depth FROM d GROUP BY page_id",
+    "first_list": f"WITH {_TAGS_SQL}, a AS (SELECT page_id, min(pos) AS first FROM e WHERE tag = 'ul' GROUP BY page_id), d AS (SELECT e.page_id, pos, tag, sum(CASE tag WHEN 'ul' THEN 1 WHEN '/ul' THEN -1 ELSE 0 END) OVER (PARTITION BY e.page_id ORDER BY pos) AS depth FROM e JOIN a USING (page_id) WHERE pos >= first), z AS (SELECT page_id, min(pos) AS last FROM d WHERE depth = 0 GROUP BY page_id) SELECT page_id, count(*) AS n_tags, count(*) FILTER (tag = 'li') AS n_items FROM d LEFT JOIN z USING (page_id) WHERE last IS NULL OR pos <= last GROUP BY page_id",
+    "lr_schedule": "SELECT o_orderkey, round(1e4 * CASE WHEN o_orderkey < 200 THEN 3e-4::DOUBLE * (o_orderkey + 1) / 200 WHEN o_orderkey >= 20000 THEN 3e-5::DOUBLE ELSE 3e-5::DOUBLE + 0.5 * (1 + cos(pi() * ((o_orderkey - 200) / 19800.0::DOUBLE))) * (3e-4::DOUBLE - 3e-5::DOUBLE) END, 6) AS lr_e4 FROM orders",
+    "interval_mean": "SELECT CAST(event_id // 10 AS BIGINT) AS interval, round(avg(value), 6) AS mean FROM events GROUP BY 1 HAVING count(*) = 10",
+    "interval_latency": "WITH i AS (SELECT CAST(event_id // 10 AS BIGINT) AS interval, count(*) AS n, max(epoch_us(ts)) AS t FROM events GROUP BY 1) SELECT a.interval, round((a.t - b.t) / 10, 1)::DOUBLE AS latency_us FROM i a JOIN i b ON a.interval = b.interval + 1 WHERE a.n = 10",
+    "eval_mean": "SELECT round(coalesce(avg(value), 0.0), 6) AS mean FROM (SELECT value FROM events ORDER BY event_id LIMIT 20)",
+    "topk_ties": "WITH e AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx, CAST(floor(unnest(embedding)::DOUBLE * 100) AS BIGINT) AS logit FROM embeddings) SELECT * FROM (SELECT vec_id, idx, logit, CAST(rank() OVER (PARTITION BY vec_id ORDER BY logit DESC) AS INTEGER) AS rank FROM e) WHERE rank <= 40",
+    "softmax_draw": "WITH e AS (SELECT vec_id, ('0x' || substr(md5('7:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE / 0.5 AS x FROM embeddings), p AS (SELECT vec_id, u, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS p FROM e), c AS (SELECT vec_id, u, i, sum(p) OVER (PARTITION BY vec_id ORDER BY i) / sum(p) OVER (PARTITION BY vec_id) AS c FROM p) SELECT vec_id, CAST(coalesce(min(i) FILTER (c > u), max(i)) AS INTEGER) AS drawn FROM c GROUP BY vec_id",
+    "xent_mean": "WITH e AS (SELECT vec_id, label, embedding[label + 1]::DOUBLE AS own, unnest(embedding)::DOUBLE AS x FROM embeddings), l AS (SELECT vec_id, label, ln(sum(exp(x))) - any_value(own) AS loss FROM e GROUP BY vec_id, label) SELECT label, round(avg(loss), 6) AS loss, count(*) AS n FROM l GROUP BY label",
+    "stream_new_hosts": f"SELECT DISTINCT {_HOST} AS host FROM pages WHERE {_HOST} <> ''",
+}
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
