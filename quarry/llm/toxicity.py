@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm import pretokens
 
 ORDERS, BITS = (3, 4, 5), 22
-SAMPLE, LONGEST, FEATURES = 6000, 200_000, 20_000
+SAMPLE, LONGEST, FEATURES = 4000, 200_000, 20_000
 SMOOTH, PENALTY, STEPS = 0.5, 1e-4, 120
 #: Characters of a text in hand at a time.
 PART = 1 << 20
@@ -86,18 +86,17 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     for text, y, w in zip(texts, labels, weights, strict=True):
         counts[int(y), grams.places(text)] += w
     n = [weights[labels == k].sum() for k in (0, 1)]
-    rows = np.zeros(1 << BITS, np.int32)
     p, q = ((counts[k] + SMOOTH) / (n[k] + 2 * SMOOTH) for k in (1, 0))
     ratio = np.log(p / q)
     evidence = np.abs(ratio) * np.abs(p - q)
     evidence[counts.sum(0) < 2 * SMOOTH] = 0
     kept = np.argpartition(-evidence, FEATURES)[:FEATURES]
+    r = ratio[kept].astype(np.float64)
+    del counts, p, q, ratio, evidence
     column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
     own = [c[c >= 0] for c in (column[grams.places(t)] for t in texts)]
-    sizes = np.array([len(c) for c in own])
-    rows, columns = np.repeat(np.arange(len(own)), sizes), np.concatenate(own)
-    r = ratio[kept].astype(np.float64)
+    rows, columns = np.repeat(np.arange(len(own), dtype=np.int32), [len(c) for c in own]), np.concatenate(own)
     scale = weights / weights.sum()
 
     beta, b0 = np.zeros(len(kept)), float(np.log(share / (1 - share)))
