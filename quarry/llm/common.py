@@ -48,6 +48,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, placed: DataFrame, out: DataFrame, key: str) -> DataFrame:
+    """The rows of placed, which is docs with a column `key`, whose key is not one of out's."""
+    return placed.join(out.withColumnRenamed(out.columns[0], key), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
+def unused(docs: DataFrame, name: str = "__row") -> str:
+    """A column name that docs has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null counts as empty. lower() does that, and fast, for
     all texts but those with upper-case letters outside ASCII, which translate() serves."""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, words, written
+from quarry.llm.common import ascii_lower, unused, without, words, written
 
 WINDOW = 10
 BROADCAST = 1_000_000
@@ -127,5 +127,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay."""
-    out = report(docs, benchmark, id_col, text_col, **how).filter("n_hit > 0").select(F.struct("i", "h").alias("__row")).distinct()
-    return docs.withColumn("__row", _row(F.col(id_col), F.col(text_col))).join(out, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    out = report(docs, benchmark, id_col, text_col, **how).filter("n_hit > 0").select(F.struct("i", "h").alias("row")).distinct()
+    key = unused(docs)
+    return without(docs, docs.withColumn(key, _row(F.col(id_col), F.col(text_col))), out, key)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, written
+from quarry.llm.common import ascii_lower, unused, without, written
 
 #: A chunk ends, after MIN characters, behind the first place whose content matches CUT, or at MAX.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -52,7 +52,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tri
         base.select(
             F.monotonically_increasing_id().alias("row"), "id",
             F.sha2(F.col("lowered"), 256).alias("text_sha256"),
-            F.transform(chunks(F.col("lowered")), of).alias("recipe"),
+            F.transform(chunks(F.col("lowered")), lambda c: of(c)).alias("recipe"),
         ),
         "recipes",
     )
@@ -81,5 +81,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a row with a larger id has; all columns stay. The rows
     to drop are matched by their place, which the text itself need not be moved for when few."""
-    out = groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(out, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    out = groups(docs, id_col, text_col).filter(~F.col("kept")).select("row")
+    key = unused(docs)
+    return without(docs, docs.withColumn(key, F.monotonically_increasing_id()), out, key)

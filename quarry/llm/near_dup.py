@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.common import written
+from quarry.llm.common import unused, without, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -363,5 +363,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class; all columns stay."""
-    out = join(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(out, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    out = join(docs, id_col, text_col, threshold).filter(~F.col("kept")).select("row")
+    key = unused(docs)
+    return without(docs, docs.withColumn(key, F.monotonically_increasing_id()), out, key)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
+from quarry.llm.common import unused, without
 
 ORDERS, BITS = (3, 4, 5), 22
 SAMPLE, LONGEST, FEATURES = 4000, 200_000, 20_000
@@ -164,6 +165,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score at the threshold or more; all columns stay. Rows are told
     apart by their place in the scan, so docs must be a table that reads the same each time."""
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    out = score(placed, model, id_col, text_col, "__row").filter(F.col("score") >= threshold).select("__row")
-    return placed.join(out, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    key = unused(docs)
+    placed = docs.withColumn(key, F.monotonically_increasing_id())
+    out = score(placed, model, id_col, text_col, key).filter(F.col("score") >= threshold).select(key)
+    return without(docs, placed, out, key)
