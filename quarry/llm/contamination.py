@@ -81,13 +81,13 @@ def ranked(items: Items, postings: DataFrame) -> DataFrame:
 def _starts(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """The lists of these terms, moved back by their offsets."""
     found = postings.filter("term > 0").join(_small(terms.select("term", "window", "n", "offset", "rank")), "term")
-    return found.select("i", "h", "window", "n", "rank", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0")
+    return found.select("i", "h", "window", "n", "rank", (F.col("pos") - F.col("offset")).alias("start"))
 
 
 def matches(items: Items, postings: DataFrame) -> DataFrame:
     """i, h (the row's key), window, n, start: every place where a window's words stand."""
     terms = ranked(items, postings)
-    two = _starts(postings, terms.filter("rank <= 2")).groupBy("i", "h", "window", "n", "start").agg(F.count_distinct("rank").alias("got"))
+    two = _starts(postings, terms.filter("rank <= 2")).filter("start >= 0").groupBy("i", "h", "window", "n", "start").agg(F.count_distinct("rank").alias("got"))
     two = written(two.filter("got = least(n, 2)").drop("got"), "candidates")
     bucket = F.pmod(F.xxhash64("i", "h"), F.lit(BUCKETS))
     kept = F.broadcast(two.select(bucket.alias("bucket")).distinct())  # BUCKETS rows at most
