@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import regex
-
 
 class SyntaxFault(Exception):
     """The source is not Go; the whole file is refused."""
@@ -23,24 +22,25 @@ ENDS = frozenset(["IDENT", "INT", "FLOAT", "IMAG", "CHAR", "STRING", "break", "c
 
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _ESCAPE = r"\\(?:[abfnrtv\\{q}]|[0-3][0-7]{{2}}|x[0-9a-fA-F]{{2}}|u(?![dD][89a-fA-F])[0-9a-fA-F]{{4}}|U00(?:10|0[0-9a-fA-F])(?!(?<=U0000)[dD][89a-fA-F])[0-9a-fA-F]{{4}})"
-_TOKEN = regex.compile(
-    rf"""
-    (?P<space>[ \t\r]+)
+#: The commonest kinds come first; blanks before a token are part of its match.
+_TOKEN = re.compile(
+    rf"""[ \t\r]*(?:
+    (?P<IDENT>[^\W\d]\w*)
+  | (?P<operator>[()\[\]{{}},;~]|:=?|==?|\.\.\.|\.(?![0-9])|\*=?|%=?|!=?|\^=?|\+[+=]?|-[-=]?|<<=?|<[-=]?|>>=?|>=?|&\^=?|&[&=]?|\|[|=]?|/(?![/*])=?)
   | (?P<line>\n)
-  | (?P<comment>//[^\n]*|/\*.*?\*/)
-  | (?P<IDENT>[\p{{L}}_][\p{{L}}\p{{Nd}}_]*)
   | (?P<number>
         0[xX](?:_?[0-9a-fA-F])*(?:\.(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?)?(?:[pP][+-]?{_DIGITS})?
       | 0[bB](?:_?[01])+ | 0[oO](?:_?[0-7])+
       | (?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?
-    )(?P<imaginary>i?)
-  | (?P<CHAR>'(?:[^'\\\n]|{_ESCAPE.format(q="'")})')
+    )
   | (?P<STRING>"(?:[^"\\\n]|{_ESCAPE.format(q='"')})*"|`[^`]*`)
-  | (?P<operator><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{{}},;.:~])
-    """,
-    regex.VERBOSE | regex.DOTALL | regex.VERSION0,
+  | (?P<CHAR>'(?:[^'\\\n]|{_ESCAPE.format(q="'")})')
+  | (?P<comment>//[^\n]*|/\*.*?\*/)
+  | (?P<end>\Z)
+    )""",
+    re.VERBOSE | re.DOTALL,
 )
-_HEX = regex.compile(r"0[xX](?P<whole>(?:_?[0-9a-fA-F])*)(?P<point>\.(?P<part>[0-9a-fA-F_]*))?(?P<power>[pP].*)?")
+_HEX = re.compile(r"0[xX](?P<whole>(?:_?[0-9a-fA-F])*)(?P<point>\.(?P<part>[0-9a-fA-F_]*))?(?P<power>[pP].*)?")
 
 
 def _number(text: str, imaginary: bool, at: int) -> str:
@@ -61,34 +61,56 @@ def _number(text: str, imaginary: bool, at: int) -> str:
     return "IMAG" if imaginary else kind
 
 
+def _is_name(text: str) -> bool:
+    """Whether a run of word characters is a name: letters, decimal digits and _ only."""
+    return text.isascii() or all(c == "_" or unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" for c in text)
+
+
 def scan(source: str) -> list[tuple[str, str, int]]:
     """Tokens (kind, text, offset): keywords and operators are their own kind; an inserted semicolon
     has the text of a line end; the last token is EOF."""
+    if "\0" in source or "﻿" in source[1:]:
+        raise SyntaxFault("illegal NUL or byte order mark", max(source.find("\0"), source.find("﻿", 1)))
     out: list[tuple[str, str, int]] = []
-    at = 1 if source[:1] == "﻿" else 0
-    ends = False
-    while at < len(source):
-        m = _TOKEN.match(source, at)
-        if m is None:
-            raise SyntaxFault(f"illegal character {unicodedata.name(source[at], repr(source[at]))}", at)
-        kind, text = m.lastgroup, m.group()
-        if m["number"] is not None:
-            kind = _number(m["number"], bool(m["imaginary"]), at)
-            if m.end() < len(source) and (source[m.end()].isalnum() or source[m.end()] == "_"):
-                raise SyntaxFault("invalid number literal", at)
-        if "\0" in text or "﻿" in text:
-            raise SyntaxFault("illegal NUL or byte order mark", at)
-        if kind == "line" or kind == "comment" and (text[:2] == "/*" and "\n" in text):
-            if ends:
-                out.append((";", "\n", at))
-            ends = False
-        elif kind not in ("space", "comment"):
-            if kind == "operator" or kind == "IDENT" and text in KEYWORDS:
+    add, at, ends = out.append, int(source[:1] == "﻿"), False
+    step = _TOKEN.scanner(source, at).match
+    while (m := step()) is not None:
+        kind = m.lastgroup
+        start, stop = m.span(kind)
+        text = source[start:stop]
+        if kind == "IDENT":
+            if text in KEYWORDS:
                 kind = text
-            out.append((kind, text, at))
+            elif not _is_name(text):
+                raise SyntaxFault("illegal character in a name", start)
+            add((kind, text, start))
             ends = kind in ENDS
-        at = m.end()
+        elif kind == "operator":
+            add((text, text, start))
+            ends = text in ENDS
+        elif kind == "line" or kind == "comment" and text[1] == "*" and "\n" in text:
+            if ends:
+                add((";", "\n", start))
+            ends = False
+        elif kind == "number":
+            imaginary = source[stop : stop + 1] == "i"
+            kind = _number(text, imaginary, start)
+            stop += imaginary
+            if stop < len(source) and (source[stop].isalnum() or source[stop] == "_"):
+                raise SyntaxFault("invalid number literal", start)
+            add((kind, source[start:stop], start))
+            ends = True
+            step = _TOKEN.scanner(source, stop).match if imaginary else step
+        elif kind == "end":
+            break
+        elif kind != "comment":
+            add((kind, text, start))
+            ends = True
+        at = stop
+    else:
+        at += len(source[at:]) - len(source[at:].lstrip(" \t\r"))
+        raise SyntaxFault(f"illegal character {source[at]!r}", at)
     if ends:
-        out.append((";", "\n", at))
-    out.append(("EOF", "", at))
+        add((";", "\n", len(source)))
+    add(("EOF", "", len(source)))
     return out
