@@ -35,11 +35,17 @@ def tokens_or_error(source: str | bytes | None) -> tuple[list[str] | None, str |
         return None, "unsupported: nested too deep"
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files over all cores if they come in fewer parts than there are; parsing is worth the move."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def tokenized(files: DataFrame, source: str = "content") -> DataFrame:
     """files with tokens (null if refused) and error (null if not); the source column is dropped.
 
     Rows are read in Arrow batches, set small by ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    where sources are long. Files are dealt evenly first if `files` says so; nothing is shuffled."""
+    where sources are long. Nothing is shuffled; see spread() for files that come in few parts."""
     keep = [c for c in files.columns if c != source]
 
     def run(stream):

@@ -33,7 +33,7 @@ def run(spark: SparkSession, settings: Prepare) -> Prepared:
     """The whole plan: reads settings.src, and below settings.dst writes the packed table by split,
     the raw numbers of each split and the refused files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(settings.batch))
-    found = packed(files.go_files(spark, settings.src, settings.max_file_bytes), settings.val_frac, settings.seed)
+    found = packed(tokenize.spread(files.go_files(spark, settings.src, settings.max_file_bytes)), settings.val_frac, settings.seed)
     if found.totals.isEmpty():
         raise RuntimeError(f"no file below {settings.src} could be tokenized")
     found.packed.write.mode("overwrite").partitionBy("split").parquet(f"{settings.dst}/packed")

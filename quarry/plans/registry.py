@@ -39,7 +39,7 @@ def go_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = F.concat(F.lit("package p\nvar v = 1"), times(" + 1", n), F.lit("\n"))
     kind = size % 5
     content = F.when(kind == 0, nested).when(kind == 1, struct).when(kind == 2, fresh).when(kind == 3, wrong).otherwise(chain)
-    return part.select("p_partkey", F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), content.alias("content"))
+    return tokenize.spread(part.select("p_partkey", F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), content.alias("content")))
 
 
 #: p_partkey, path and tokens, joined by spaces; null for sources that are refused.
