@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.toxicity import scored
+from quarry.llm.toxicity import sample, scored
 
 FEATURES = (
     "log_bytes", "log_words", "letters", "upper", "digits", "spaces", "stops", "symbols", "bars", "bangs", "non_ascii",
@@ -177,11 +177,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    own = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    count = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
-    drawn = [own.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
-    drawn = drawn[0].union(drawn[1]).dropDuplicates(["id"])  # 2 * most rows at most
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    texts, count = sample(docs, labels, label_col, learn, most, id_col, text_col)
     rows = described(texts, "id", "text", "y").dropDuplicates(["id"]).toArrow().sort_by("id")
     y = np.asarray(rows.column("y"), np.int64)
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), len(FEATURES))

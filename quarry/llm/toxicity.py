@@ -6,7 +6,7 @@ of its share among the toxic rows' features over that among the others, both smo
 with the strongest evidence are kept, and a logistic regression with a penalty is fitted to features
 scaled by their ratios, so a score is one sum of weights over the distinct n-grams of a whole text.
 
-The labelled sample is bounded, by parameters: at most `sample` rows of either class, in the order
+The labelled sample is bounded, by parameters: at most `most` rows of either class, in the order
 of a hash of the id, whose texts have at most LONGEST characters (all texts are scored, however
 long); rows are weighted so that the classes count as often as they do among all labelled rows.
 
@@ -68,12 +68,24 @@ class NGrams:
 
 @dataclass
 class Model:
-    weight: np.ndarray  # by place
+    places: np.ndarray  # of the features kept, FEATURES at most
+    weights: np.ndarray
     intercept: float
 
-    def score(self, grams: NGrams, text: str) -> float:
-        z = self.intercept + float(self.weight[grams.places(text)].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+    def scorer(self) -> Callable[[str], float]:
+        grams, by_place = NGrams(), np.zeros(1 << BITS, np.float32)
+        by_place[self.places] = self.weights
+
+        def score(text: str) -> float:
+            z = self.intercept + float(by_place[grams.places(text)].sum(dtype=np.float64))
+            return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+
+        return score
+
+
+def constant(share: float) -> Model:
+    """What there is to say with labels of one class or none."""
+    return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 50.0 if share else -50.0)
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
@@ -81,7 +93,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     labels = np.asarray(labels, np.float64)
     share = float((weights * labels).sum() / weights.sum()) if len(labels) else 0.0
     if share in (0.0, 1.0):
-        return Model(np.zeros(1 << BITS, np.float32), 50.0 if share else -50.0)
+        return constant(share)
     grams = NGrams()
     counts = np.zeros((2, 1 << BITS), np.float32)
     for text, y, w in zip(texts, labels, weights, strict=True):
@@ -110,9 +122,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         beta, b0 = beta - move[:-1], b0 - move[-1]
-    weight = np.zeros(1 << BITS, np.float32)
-    weight[kept] = r * beta
-    return Model(weight, b0)
+    return Model(kept.astype(np.int32), (r * beta).astype(np.float32), b0)
 
 
 def remainder(id_: Column, of: int) -> Column:
@@ -120,22 +130,33 @@ def remainder(id_: Column, of: int) -> Column:
     return F.pmod(F.coalesce(F.crc32(id_.cast("string").cast("binary")), F.lit(0).cast("long")), F.lit(of))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: int, id_col: str, text_col: str, longest: int = LONGEST) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of at most `most` rows of either class. Classes are counted over
-    all labels to be learnt from; the ids drawn are few, and broadcast."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(id, text, y) of at most `most` rows of either class, and how many rows each class has. The
+    ids drawn are at most 2 * most, and broadcast."""
     own = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     count = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
     drawn = [own.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
     drawn = drawn[0].union(drawn[1]).dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).select("id", "text", "y").toArrow().sort_by("id")
-    y = np.asarray(rows.column("y"), np.int64)
-    got = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    return rows.column("text").to_pylist(), y, np.array([count[k] / got[k] for k in y.tolist()])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id"), count
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(*sample(docs, labels, label_col, learn, most, id_col, text_col))
+    """The model of a sample, fitted by one task, as the sample is bounded; what comes to the driver
+    is the model."""
+    rows, count = sample(docs, labels, label_col, learn, most, id_col, text_col)
+    rows = rows.filter(F.length(F.coalesce("text", F.lit(""))) <= LONGEST).dropDuplicates(["id"]).repartition(1).sortWithinPartitions("id")
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in stream:
+            texts += [t or "" for t in batch.column("text").to_pylist()]
+            labels += batch.column("y").to_pylist()
+        got = np.bincount(np.array(labels, np.int64), minlength=2)
+        model = fit(texts, np.array(labels), np.array([count[k] / got[k] for k in labels]))
+        yield pa.RecordBatch.from_arrays([pa.array([model.places], pa.list_(pa.int32())), pa.array([model.weights], pa.list_(pa.float32())), pa.array([model.intercept])], ["places", "weights", "intercept"])
+
+    found = rows.select("text", "y").mapInArrow(run, "places array<int>, weights array<float>, intercept double").collect()  # one row
+    return Model(np.array(found[0].places, np.int32), np.array(found[0].weights, np.float32), found[0].intercept) if found else constant(0.0)
 
 
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], Iterable[float]]], id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -145,19 +166,20 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], Iterable[
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for part, texts in pretokens.batches(stream):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score(texts), pa.float64()), *(part.column(k) for k in keep)], ["id", "score", *keep])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(score(texts)), pa.float64()), *(part.column(k) for k in keep)], ["id", "score", *keep])
 
     types = dict(docs.dtypes)
     return own.mapInArrow(run, ", ".join(["id long", "score double", *(f"{k} {types[k]}" for k in keep)]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
-    """id, score (0 to 1), and the columns to keep. The model, 4 * 2**BITS bytes, is broadcast."""
+    """id, score (0 to 1), and the columns to keep. The model, FEATURES places and weights at
+    most, is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scorer() -> Callable[[list[str]], Iterable[float]]:
-        grams, own = NGrams(), held.value
-        return lambda texts: [own.score(grams, t) for t in texts]
+        one = held.value.scorer()
+        return lambda texts: map(one, texts)
 
     return scored(docs, scorer, id_col, text_col, *keep)
 
