@@ -2,9 +2,9 @@
 
 A text's features are the distinct n-grams of its lower-cased characters, for the lengths in ORDERS,
 hashed to 2**BITS places. From labelled rows, each feature gets its log-count ratio, the logarithm
-of its share among the toxic rows' features over that among the others, both smoothed. The features
-with the strongest evidence are kept, and a logistic regression with a penalty is fitted to features
-scaled by their ratios, so a score is one sum of weights over the distinct n-grams of a whole text.
+of the share of toxic rows that have it over that of the others, both smoothed. Features whose shares
+differ by SURE standard errors, those with the strongest evidence first, are kept, and a logistic
+regression with a penalty is fitted to features scaled by their ratios, so a score is one sum of weights over the distinct n-grams of a whole text.
 
 The labelled sample is bounded, by parameters: at most `most` rows of either class, in the order
 of a hash of the id, whose texts have at most LONGEST characters (all texts are scored, however
@@ -31,7 +31,7 @@ from quarry.llm.common import unused, without
 
 ORDERS, BITS = (3, 4, 5), 22
 SAMPLE, LONGEST, FEATURES = 4000, 200_000, 20_000
-SMOOTH, PENALTY, STEPS = 0.5, 1e-4, 120
+SMOOTH, SURE, PENALTY, STEPS = 0.5, 5.0, 1e-4, 120
 #: Characters of a text in hand at a time.
 PART = 1 << 20
 
@@ -96,16 +96,18 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
         return constant(share)
     grams = NGrams()
     counts = np.zeros((2, 1 << BITS), np.float32)
-    for text, y, w in zip(texts, labels, weights, strict=True):
-        counts[int(y), grams.places(text)] += w
-    n = [weights[labels == k].sum() for k in (0, 1)]
+    for text, y in zip(texts, labels, strict=True):
+        counts[int(y), grams.places(text)] += 1
+    n = [float((labels == k).sum()) for k in (0, 1)]
     p, q = ((counts[k] + SMOOTH) / (n[k] + 2 * SMOOTH) for k in (1, 0))
+    spread = (counts.sum(0) + SMOOTH) / (sum(n) + 2 * SMOOTH)
+    spread = np.sqrt(spread * (1 - spread) * (1 / n[0] + 1 / n[1]))
     ratio = np.log(p / q)
-    evidence = np.abs(ratio) * np.abs(p - q)
-    evidence[counts.sum(0) < 2 * SMOOTH] = 0
+    evidence = np.where(np.abs(p - q) >= SURE * spread, np.abs(ratio * (p - q)), 0)
     kept = np.argpartition(-evidence, FEATURES)[:FEATURES]
+    kept = np.sort(kept[evidence[kept] > 0])
     r = ratio[kept].astype(np.float64)
-    del counts, p, q, ratio, evidence
+    del counts, p, q, spread, ratio, evidence
     column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
     own = [c[c >= 0] for c in (column[grams.places(t)] for t in texts)]
