@@ -1,15 +1,14 @@
-"""What the operators share: the shared folder, written tables, word splitting and row keys."""
+"""What the operators share: written tables, word splitting and columns that tell rows apart."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.shared import shared_path, written
+
+__all__ = ["ascii_lower", "parquet", "shared_path", "unused", "without", "words", "written"]
+
 #: Fixed values of the word rule: what parts words, after A-Z were lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,36 +17,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER_UPPER = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{IsUppercase}\p{Cn}]]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or
-    one of our own where that is unset (a single machine, as in tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is unset: this cluster names no shared folder")
-    own = tempfile.mkdtemp(prefix="quarry-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_dir(spark)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read again: lineage ends
-    there, a lost executor costs no recomputation, and Spark knows the table's size."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(docs: DataFrame, placed: DataFrame, out: DataFrame, key: str) -> DataFrame:
     """The rows of placed, which is docs with a column `key`, whose key is not one of out's."""
     return placed.join(out.withColumnRenamed(out.columns[0], key), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
