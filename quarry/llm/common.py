@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.shared import shared_path, written
 
-__all__ = ["ascii_lower", "parquet", "shared_path", "unused", "without", "words", "written"]
+__all__ = ["ascii_lower", "byte_words", "parquet", "shared_path", "unused", "without", "words", "written"]
 
 #: Fixed values of the word rule: what parts words, after A-Z were lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BYTE_WORD, BYTE_GAP = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Characters outside ASCII that lower() may change; \p{Cn} covers those that a newer Unicode assigns.
@@ -42,5 +46,19 @@ def words(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
+#: Bytes of a text that are cut into words at a time.
+PART = 1 << 22
+
+
+def byte_words(low: bytes) -> Iterator[list[bytes]]:
+    """The words of a text whose A-Z are lower-cased, PART bytes at a time."""
+    at = 0
+    while at < len(low):
+        end = re.compile(BYTE_GAP).search(low, at + PART) if at + PART < len(low) else None
+        to = end.start() if end else len(low)
+        yield re.findall(BYTE_WORD, low[at:to])
+        at = to
+
+
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

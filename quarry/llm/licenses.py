@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
+from quarry.llm.common import BYTE_GAP, BYTE_WORD, byte_words
 
 #: Phrases and the labels they give.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -53,28 +54,9 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 
-WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bytes of a text that are cut into words at a time.
-PART = 1 << 22
-
-
 def is_word() -> np.ndarray:
     """By byte, whether it belongs to a word once A-Z are lower-cased."""
-    return np.array([bool(re.match(WORD, bytes([b]))) for b in range(256)])
-
-
-def words(low: bytes) -> Iterator[list[bytes]]:
-    """The words of a text whose A-Z are lower-cased, PART bytes at a time."""
-    at = 0
-    while at < len(low):
-        to = at + PART
-        if to < len(low) and (end := re.compile(GAP).search(low, to)):
-            to = end.start()
-        elif to < len(low):
-            to = len(low)
-        yield re.findall(WORD, low[at:to])
-        at = to
+    return np.array([bool(re.match(BYTE_WORD, bytes([b]))) for b in range(256)])
 
 
 @dataclass
@@ -95,7 +77,7 @@ class Join:
     templates: list[Template]
 
     def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
-        sets = [(label, set(re.findall(WORD, text.encode().lower()))) for label, text in templates]
+        sets = [(label, set(re.findall(BYTE_WORD, text.encode().lower()))) for label, text in templates]
         order = sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(order)}
         self.templates = [Template(label, tuple(sorted(s, key=self.rank.__getitem__)), math.ceil(threshold * len(s) - 1e-9)) for label, s in sets]
@@ -124,7 +106,7 @@ class Join:
         """(from, to, template, containment) of every line that meets the threshold."""
         out = []
         for (a, b), templates in sorted(self.candidates(low, wordly).items()):
-            own = set().union(*words(low[a:b]))
+            own = set().union(*byte_words(low[a:b]))
             ranks = sorted(self.rank[w] for w in own & self.rank.keys())
             for k in sorted(templates):
                 t = self.templates[k]
@@ -148,7 +130,7 @@ def places(low: bytes, phrases: Iterable[str]) -> list[tuple[int, str]]:
     for phrase in phrases:
         own = phrase.encode().split()
         if all(w in low for w in own):
-            one = rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?=" + GAP.join(map(re.escape, own)) + rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F]))"
+            one = rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?=" + BYTE_GAP.join(map(re.escape, own)) + rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F]))"
             out += [(m.start(), phrase) for m in re.finditer(one, low)]
     return sorted(out)
 
@@ -160,13 +142,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> dict[bytes, int]:
     """Of each word of a template, the number of documents that have it; summed in the cluster, and
     as many numbers as the templates have words."""
-    vocabulary = {w for _, text in templates for w in re.findall(WORD, text.encode().lower())}
+    vocabulary = {w for _, text in templates for w in re.findall(BYTE_WORD, text.encode().lower())}
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
         for _, texts in pretokens.batches(stream):
             for text in texts:
-                count.update(set().union(*(vocabulary.intersection(part) for part in words(text.encode().lower()))))
+                count.update(set().union(*(vocabulary.intersection(part) for part in byte_words(text.encode().lower()))))
         yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()

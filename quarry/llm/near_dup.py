@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.common import unused, without, written
+from quarry.llm.common import byte_words, unused, without, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -48,8 +47,6 @@ HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
 BLOCK, BUCKETS = 1000, 1 << 20
 #: Pairs that are compared together, and words whose hashes a worker keeps.
 PAIRS, KEPT = 100_000, 500_000
-#: Fixed values of the word rule, on the bytes of a text whose A-Z are lower-cased.
-WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _hashes: dict[bytes, int] = {}
@@ -68,24 +65,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """The words' 64-bit hashes, from a bounded table of those seen."""
+    new = [w for w in set(words) if w not in _hashes]
+    if len(_hashes) + len(new) > KEPT:
+        _hashes.clear()
+        new = set(words)
+    _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """The text's distinct shingles as sorted 64-bit hashes."""
-    found = re.findall(WORD, text.encode().lower())
-    if not found:
-        return np.zeros(0, np.uint64)
-    for w in set(found):
-        if w not in _hashes:
-            if len(_hashes) >= KEPT:
-                _hashes.clear()
-            _hashes[w] = xxhash.xxh64_intdigest(w)
-    try:
-        h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    except KeyError:  # it was emptied on the way
-        h = np.array([xxhash.xxh64_intdigest(w) for w in found], np.uint64)
-    n = min(size, len(found))
-    out = np.full(len(found) - n + 1, n, np.uint64)
+    h = np.concatenate([_hashed(found) for found in byte_words(text.encode().lower())] or [np.zeros(0, np.uint64)])
+    if not len(h):
+        return h
+    n = min(size, len(h))
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = out * np.uint64(_MULTIPLIER) + h[k : len(found) - n + 1 + k]
+        out = out * np.uint64(_MULTIPLIER) + h[k : len(h) - n + 1 + k]
     return np.unique(_mixed(out))
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import operator
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
+from quarry.llm.common import PART
 from quarry.llm.toxicity import sample, scored
 
 FEATURES = (
@@ -45,18 +47,34 @@ _CLASS = {
 }
 
 
+def _words(text: str) -> Iterator[list[str]]:
+    """What white space parts, some PART characters at a time."""
+    at = 0
+    while at < len(text):
+        end = re.compile(r"\s").search(text, at + PART) if at + PART < len(text) else None
+        to = end.start() if end else len(text)
+        yield text[at:to].split()
+        at = to
+
+
 def numbers(text: str) -> list[float]:
     """The values of FEATURES for a text."""
     raw = text.encode()
     if not raw:
         return [0.0] * len(FEATURES)
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    words, lines = text.split(), text.split("\n")
-    n = max(1, len(words))
+    n, longest, repeated, last, distinct = 0, 0, 0, None, set()
+    for words in _words(text):
+        n += len(words)
+        longest = max(longest, max(map(len, words), default=0))
+        repeated += sum(map(operator.eq, words, itertools.islice(words, 1, None))) + (words[:1] == [last])
+        distinct.update(words)
+        last = words[-1] if words else last
+    lines, each = text.split("\n"), max(1, n)
     shares = [float(count[np.frombuffer(c, np.uint8)].sum()) / len(raw) for c in _CLASS.values()]
     return [
-        float(np.log1p(len(raw))), float(np.log1p(len(words))), *shares,
-        len(text) / n, float(np.log1p(max(map(len, words), default=0))), len(set(words)) / n, sum(map(operator.eq, words, itertools.islice(words, 1, None))) / n,
+        float(np.log1p(len(raw))), float(np.log1p(n)), *shares,
+        len(text) / each, float(np.log1p(longest)), len(distinct) / each, repeated / each,
         float(np.log1p(len(text) / len(lines))), sum(len(x) < 25 for x in lines) / len(lines), len(set(lines)) / len(lines), float(count.max()) / len(raw),
     ]
 

@@ -99,6 +99,10 @@ def test_long_texts_in_parts(monkeypatch):
     whole = sorted(toxicity.NGrams().places(text).tolist())
     monkeypatch.setattr(toxicity, "PART", 100)
     assert sorted(toxicity.NGrams().places(text).tolist()) == whole
+    many = "one one two\nthree three  three\t" * 50
+    numbers = quality.numbers(many)
+    monkeypatch.setattr(quality, "PART", 7)
+    assert quality.numbers(many) == numbers
 
 
 @pytest.mark.parametrize(("query", "of", "out", "cut"), [(op4_nb_ngrams, 4, 2, 0.3), (op5_pairwise_gam, 3, 1, 0.5)])

@@ -3,7 +3,7 @@ import re
 
 import pytest
 from conftest_llm import odd_texts, rows_of, words
-from quarry.llm import licenses
+from quarry.llm import common, licenses
 
 PUNCTUATION = [" ", "  ", ", ", "-", ". "]
 
@@ -60,8 +60,8 @@ def test_join_is_exact(spark, mangled):
 
 
 def test_long_line(monkeypatch):
-    monkeypatch.setattr(licenses, "PART", 64)
+    monkeypatch.setattr(common, "PART", 64)
     low = b"filler words " * 100 + b"released under the mit license " + b"more " * 100
-    assert [w for part in licenses.words(low) for w in part] == words(low.decode())
+    assert [w for part in common.byte_words(low) for w in part] == words(low.decode())
     found = licenses.Join({}).blocks(low, licenses.is_word())
     assert [licenses.TEMPLATES[k][0] for _, _, k, _ in found] == ["mit"]

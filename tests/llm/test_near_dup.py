@@ -98,3 +98,13 @@ def test_components(spark):
     rows = rows_of(got, "node", "component")
     assert len(rows) == len(set(rows)) and set(rows) == {(x, root(x)) for a, b in edges if a != b for x in (a, b)}
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_long_texts_in_parts(monkeypatch):
+    from quarry.llm import common
+
+    text = " ".join(f"w{k * k % 331}" for k in range(3000))
+    whole = near_dup.shingles(text)
+    monkeypatch.setattr(common, "PART", 100)
+    monkeypatch.setattr(near_dup, "KEPT", 50)
+    assert near_dup.shingles(text).tolist() == whole.tolist()
