@@ -46,7 +46,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
 BLOCK, BUCKETS = 1000, 1 << 20
 #: Pairs that are compared together, and words whose hashes a worker keeps.
-PAIRS, KEPT = 100_000, 500_000
+PAIRS, KEPT = 100_000, 200_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _hashes: dict[bytes, int] = {}

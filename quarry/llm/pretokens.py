@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps at most, and bytes of texts in hand at a time.
-KEPT, BYTES = 1_000_000, 2_000_000
+KEPT, BYTES = 500_000, 2_000_000
 
 #: Texts of these characters alone are plain: ASCII and the letters of Latin-1.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
