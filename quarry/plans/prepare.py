@@ -21,9 +21,9 @@ class Prepared:
 
 
 def packed(sources: DataFrame, val_frac: float = 0.05, seed: int = 0, path: str = "path", content: str = "content") -> Prepared:
-    """The packed streams of sources. Tokens are made once, as a written table of ids that the
+    """The packed streams of sources. Ids are made once, as a written table that the
     accepted and the refused files both come from."""
-    found = tokenize.encoded(tokenize.tokenized(sources.select(F.col(path).alias("path"), F.col(content).alias("content"))))
+    found = tokenize.tokenized_ids(sources.select(F.col(path).alias("path"), F.col(content).alias("content")))
     found = written(found.withColumn("n", F.coalesce(F.size("ids"), F.lit(0)).cast("long")), "ids")
     own = pack.shuffled_offsets(tokenize.accepted(found), "path", "n", val_frac, seed)
     return Prepared(own, found.filter("error is not null").select("path", "error"), pack.totals(own))

@@ -240,3 +240,15 @@ def test_nothing_imports_the_optional_package():
 
     for p in (Path(__file__).parent.parent / "quarry").rglob("*.py"):
         assert "quarry/llm" in str(p) or "quarry.llm" not in p.read_text()
+
+
+def test_ids_are_the_tokens_ids(spark):
+    df = spark.createDataFrame([("a", GOOD), ("b", "no"), ("c", None)], "path string, content string")
+    one = {r.path: (r.ids, r.error) for r in tokenize.tokenized_ids(df).collect()}
+    two = {r.path: (r.ids, r.error) for r in tokenize.encoded(tokenize.tokenized(df)).collect()}
+    assert one["a"] == two["a"] and one["a"][0][0] == vocab.IDS["BOS"]
+    assert one["b"][0] is None and one["b"][1] == two["b"][1] and one["c"] == (None, "no content")
+
+
+def test_spread(spark):
+    assert tokenize.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
