@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm import pretokens
 from quarry.llm.common import unused, without
 
-ORDERS, BITS = (3, 4, 5), 22
+ORDERS, BITS = (3, 4, 5), 21
 SAMPLE, LONGEST, FEATURES = 4000, 200_000, 20_000
 SMOOTH, SURE, PENALTY, STEPS = 0.5, 5.0, 1e-4, 120
 #: Characters of a text in hand at a time.
@@ -41,12 +41,13 @@ class NGrams:
 
     def __init__(self, orders: tuple[int, ...] = ORDERS, bits: int = BITS):
         self.orders, self.bits = orders, bits
-        self.mark = np.full(1 << bits, -1, np.int64)
-        self.now = 0
+        self.mark, self.now = np.full(1 << bits, -1, np.int32), 0
 
     def places(self, text: str) -> np.ndarray:
         """The places of the text's n-grams, each once."""
         found, kept = [], max(self.orders) - 1
+        if self.now + len(self.orders) * (len(text) + len(text) // PART + 1) * 2 >= 1 << 31:
+            self.mark, self.now = np.full(1 << self.bits, -1, np.int32), 0
         first = self.now
         text = text.lower()
         for at in range(0, max(1, len(text)), PART):
@@ -59,7 +60,7 @@ class NGrams:
                 if n in self.orders:
                     p = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
                     p = p[self.mark[p] < first]
-                    order = np.arange(self.now, self.now + len(p))
+                    order = np.arange(self.now, self.now + len(p), dtype=np.int32)
                     self.mark[p] = order  # of like places the last one's mark stays
                     found.append(p[self.mark[p] == order])
                     self.now += len(p)
@@ -101,17 +102,16 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     n = [float((labels == k).sum()) for k in (0, 1)]
     p, q = ((counts[k] + SMOOTH) / (n[k] + 2 * SMOOTH) for k in (1, 0))
     spread = (counts.sum(0) + SMOOTH) / (sum(n) + 2 * SMOOTH)
-    spread = np.sqrt(spread * (1 - spread) * (1 / n[0] + 1 / n[1]))
-    ratio = np.log(p / q)
-    evidence = np.where(np.abs(p - q) >= SURE * spread, np.abs(ratio * (p - q)), 0)
-    kept = np.argpartition(-evidence, FEATURES)[:FEATURES]
-    kept = np.sort(kept[evidence[kept] > 0])
-    r = ratio[kept].astype(np.float64)
-    del counts, p, q, spread, ratio, evidence
+    sure = np.flatnonzero(np.abs(p - q) >= SURE * np.sqrt(spread * (1 - spread) * (1 / n[0] + 1 / n[1])))
+    p, q = p[sure].astype(np.float64), q[sure].astype(np.float64)
+    best = np.argsort(-np.abs(np.log(p / q) * (p - q)), kind="stable")[:FEATURES]
+    kept, r = sure[best], np.log(p / q)[best]
+    del counts, spread
     column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
     own = [c[c >= 0] for c in (column[grams.places(t)] for t in texts)]
     rows, columns = np.repeat(np.arange(len(own), dtype=np.int32), [len(c) for c in own]), np.concatenate(own)
+    del grams, column
     scale = weights / weights.sum()
 
     beta, b0 = np.zeros(len(kept)), float(np.log(share / (1 - share)))
