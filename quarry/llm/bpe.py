@@ -15,7 +15,6 @@ an empty one; other columns of any name are passed by.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
@@ -165,14 +164,23 @@ class Codec:
         return pretokens.gather(self.all_bytes, self.begins[ids], self.sizes[ids]).tobytes()
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+class Coder:
+    """A codec with the pieces of a pattern that it has met."""
 
+    def __init__(self, path: str, pattern: str):
+        self.codec, self.split = Codec(path), pretokens.byte_level(pattern)
+        self.table = pretokens.Table(self.codec.encode_pieces)
 
-@functools.lru_cache(maxsize=2)
-def _table(path: str) -> pretokens.Table:
-    return pretokens.Table(lambda pieces: codec(path).encode_pieces(pieces))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, int32."""
+        return pretokens.by_text(texts, self.split, self.table)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.codec.decode(ids)
+
+
+def coder(path: str, pattern: str) -> Coder:
+    return pretokens.held(("bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def default_path() -> str:
@@ -187,28 +195,19 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-@functools.lru_cache(maxsize=2)
-def _splitter(pattern: str) -> pretokens.Splitter:
-    return pretokens.byte_level(pattern)
-
-
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:
-    """The ids of each text, int32."""
-    return pretokens.by_text(texts, _splitter(pattern), _table(path))
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """id, ids array<int>: a row per row of docs."""
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path, pattern)
         for part, texts in pretokens.batches(stream):
-            ids = encode_texts(texts, path, pattern)
+            ids = own.encode(texts)
             ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return own.mapInArrow(run, "id long, ids array<int>")
 
 
@@ -217,8 +216,9 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: s
     path = path or default_path()
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path, default_pattern())
         for part in stream:
-            texts = [codec(path).decode(np.asarray(x or [], np.int64)) for x in part.column("ids").to_pylist()]
+            texts = [own.decode(np.asarray(x or [], np.int64)) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.binary())], ["id", "decoded"])
 
     return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, decoded binary")
@@ -230,13 +230,14 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path, pattern)
         for part, texts in pretokens.batches(stream):
             n, a, b = [], [], []
-            for ids in encode_texts(texts, path, pattern):
+            for ids in own.encode(texts):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(codec(path).decode(ids)).hexdigest())
+                b.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return own.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

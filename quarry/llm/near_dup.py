@@ -49,7 +49,6 @@ BLOCK, BUCKETS = 1000, 1 << 20
 PAIRS, KEPT = 100_000, 200_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_hashes: dict[bytes, int] = {}
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,12 +66,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _hashed(words: list[bytes]) -> np.ndarray:
     """The words' 64-bit hashes, from a bounded table of those seen."""
-    new = [w for w in set(words) if w not in _hashes]
-    if len(_hashes) + len(new) > KEPT:
-        _hashes.clear()
+    seen = pretokens.held("word hashes", dict)
+    new = [w for w in set(words) if w not in seen]
+    if len(seen) + len(new) > KEPT:
+        seen.clear()
         new = set(words)
-    _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    seen.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -200,7 +200,7 @@ def _groups(stream: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
     for batch in stream:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= 4 * BLOCK:
+        if rows >= BLOCK:
             t = pa.Table.from_batches(held)
             n = numbered(t)
             cut = int(np.searchsorted(n, n[-1]))  # the last group may go on
@@ -217,7 +217,7 @@ def _matrix(t: pa.Table) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return pretokens.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Pieces that a worker keeps at most, and bytes of texts in hand at a time.
-KEPT, BYTES = 500_000, 2_000_000
+KEPT, BYTES = 500_000, 1_000_000
 
 #: Texts of these characters alone are plain: ASCII and the letters of Latin-1.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -37,6 +38,18 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker keeps from task to task: the thing that make() gives for a key, as long as no
+    other is asked for. So workers that serve one operator after the other hold one's tables."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 @dataclass
 class Cut:
     """Pieces of some texts: their bytes in raw, and how many each text has."""
@@ -275,13 +288,25 @@ def by_text(texts: list[str], split: Splitter, table: Table) -> list[np.ndarray]
     return [p[0] if len(p) == 1 else np.concatenate(p) if p else nothing for p in own]
 
 
-def batches(stream: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of record batches with the texts of their column ``text``, null as empty, that have
-    about BYTES bytes of text or a single row."""
+#: Rows of an Arrow batch at most, as rows are whole texts.
+ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Python at most ROWS rows at a time."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
+
+
+def batches(stream: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of record batches with the texts of a column, null as empty, that have about BYTES
+    bytes of text or a single row."""
     for whole in stream:
-        at, group = 0, np.cumsum(np.asarray(pc.binary_length(whole.column("text")).fill_null(0), np.int64)) // BYTES
+        at, group = 0, np.cumsum(np.asarray(pc.binary_length(whole.column(column)).fill_null(0), np.int64)) // BYTES
         for cut in [*np.flatnonzero(np.diff(group)) + 1, whole.num_rows]:
             if cut > at:
                 part = whole.slice(at, cut - at)
-                yield part, [x or "" for x in part.column("text").to_pylist()]
+                yield part, [x or "" for x in part.column(column).to_pylist()]
             at = cut

@@ -184,7 +184,7 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Model:
 
 def described(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """id, the columns to keep, and x, the texts' numbers."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+    own = pretokens.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream):

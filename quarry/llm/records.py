@@ -24,7 +24,6 @@ other columns of any name are not read. A damaged record raises an error when re
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -124,9 +123,8 @@ class Encoding:
         return pretokens.by_text(texts, self.split, self.table)
 
 
-@functools.lru_cache(maxsize=2)
 def encoding(path: str) -> Encoding:
-    return Encoding(path)
+    return pretokens.held(("records", path), lambda: Encoding(path))
 
 
 def default_path() -> str:
@@ -138,7 +136,7 @@ def default_path() -> str:
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the records of docs to files in folder; returns the manifest, MANIFEST."""
     path = path or default_path()
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(RANGES, max(1, -(-total // file_bytes)))
     key = [F.asc_nulls_first("id"), F.xxhash64("text")]

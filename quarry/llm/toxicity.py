@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.common import unused, without
 
 ORDERS, BITS = (3, 4, 5), 21
 SAMPLE, LONGEST, FEATURES = 4000, 200_000, 20_000
@@ -163,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], Iterable[float]]], id_col: str, text_col: str, *keep: str) -> DataFrame:
     """id, score, and the columns to keep."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    own = pretokens.small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
@@ -186,10 +185,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored(docs, scorer, id_col, text_col, *keep)
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score at the threshold or more; all columns stay. Rows are told
-    apart by their place in the scan, so docs must be a table that reads the same each time."""
-    key = unused(docs)
-    placed = docs.withColumn(key, F.monotonically_increasing_id())
-    out = score(placed, model, id_col, text_col, key).filter(F.col("score") >= threshold).select(key)
-    return without(docs, placed, out, key)
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score at the threshold or more; all columns stay. Rows are
+    dropped where they are scored, so none is moved."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = held.value.scorer()
+        for part, texts in pretokens.batches(stream, text_col):
+            yield part.filter(pa.array([one(t) < threshold for t in texts]))
+
+    return pretokens.small_batches(docs).mapInArrow(run, docs.schema)

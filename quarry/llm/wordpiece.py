@@ -125,8 +125,11 @@ class Automaton:
         return todo[to != -1]
 
 
-@functools.lru_cache(maxsize=2)
 def table(path: str) -> pretokens.Table:
+    return pretokens.held(("word-pieces", path), lambda: _table(path))
+
+
+def _table(path: str) -> pretokens.Table:
     automaton = Automaton(*pieces_of(path))
 
     def make(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,5 +172,5 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return own.mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long")

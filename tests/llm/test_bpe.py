@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from quarry.llm import bpe, pretokens
 
-CODEC = bpe.codec(bpe.default_path())
+CODER = bpe.Coder(bpe.default_path(), public_tokenizers.PATTERN)
+CODEC = CODER.codec
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.rank, special_tokens={})
 
 
@@ -33,7 +34,7 @@ def test_encode_and_decode(odd):
 @given(st.lists(st.text(max_size=60) | st.text("ab '\n\tstmdrevl0_-é", max_size=60), max_size=5))
 def test_any_text(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    got = bpe.encode_texts(texts, bpe.default_path(), public_tokenizers.PATTERN)
+    got = CODER.encode(texts)
     assert [g.tolist() for g in got] == [TIKTOKEN.encode_ordinary(t) for t in texts]
     assert [CODEC.decode(g) for g in got] == [t.encode() for t in texts]
 
@@ -49,7 +50,7 @@ def test_long_pieces_and_both_ways():
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(pretokens, "BYTES", 500)
     texts = ["Some words, and more of them.  " * 200, "x" * 6000, "é" * 3000 + " " + "日本" * 2000, "a b " * 900 + "\n\n" * 40]
-    got = bpe.encode_texts(texts, bpe.default_path(), public_tokenizers.PATTERN)
+    got = CODER.encode(texts)
     assert [g.tolist() for g in got] == [TIKTOKEN.encode_ordinary(t) for t in texts]
 
 

@@ -33,7 +33,7 @@ def test_pipeline(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     clean = {i for i, _, hit, _, _ in leaks(rows, items) if not hit}
     rows = [(i, t) for i, t in rows if i in clean]
-    ranks = bpe.codec(bpe.default_path()).rank
+    ranks = bpe.Codec(bpe.default_path()).rank
     library = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
     want = {(i, len(library.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
     got = corpus_pipeline.run(spark, sf_dir).collect()
@@ -53,3 +53,15 @@ def test_stages_on_nothing(spark, sf_dir):
     docs = written(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0), "none")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_stages_on_odd_texts(spark, sf_dir, odd):
+    """Nulls, repeats, ties and other columns pass through every stage, one behind the other."""
+    from quarry.llm.common import written
+
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        assert docs.columns == odd.columns
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert 0 < last.count() == docs.count() < odd.count()
