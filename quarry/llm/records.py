@@ -42,6 +42,8 @@ from quarry.llm.common import shared_path, written
 #: Bytes of text that a range of ids is planned for, ranges at most, and the number of times
 #: FILE_BYTES after which a range goes on in another file.
 FILE_BYTES, RANGES, ROLL = 32 << 20, 10_000, 4
+#: Pieces that the library encodes in a call; what it gives back is large beside their ids.
+AT_ONCE = 2000
 MANIFEST = "part int, number int, path string, n_records long, n_ids long, width int"
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
@@ -111,8 +113,10 @@ class Encoding:
         self.table = pretokens.Table(self._make)
 
     def _make(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The library gives the ids of all pieces in a row; bytes tell where each piece ends."""
-        found = np.array(self.tokenizer.encode_batch_fast([[p.decode() for p in pieces]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        """The library gives the ids of AT_ONCE pieces in a row; bytes tell where each piece ends."""
+        parts = [[p.decode() for p in pieces[k : k + AT_ONCE]] for k in range(0, len(pieces), AT_ONCE)]
+        found = [np.array(self.tokenizer.encode_batch_fast([x], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32) for x in parts]
+        found = np.concatenate([*found, np.zeros(0, np.int32)])
         ends = np.cumsum([len(p) for p in pieces])
         upto = np.searchsorted(np.cumsum(self.bytes[found]), ends, "left") + 1
         return found, np.diff(upto, prepend=0)
@@ -174,7 +178,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         columns = list(zip(*done, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["part", "number", "path", "n_records", "n_ids", "width"])
 
-    return written(dealt.mapInArrow(run, MANIFEST), "manifest")
+    return written(dealt.mapInArrow(run, MANIFEST).repartition(1), "manifest")  # a row a file
 
 
 def read(manifest: DataFrame) -> DataFrame:
