@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.shared import shared_path, written
 
-__all__ = ["ascii_lower", "byte_words", "parquet", "shared_path", "unused", "without", "words", "written"]
+__all__ = ["ascii_lower", "byte_words", "dropped", "parquet", "row_key", "shared_path", "unused", "without", "words", "written"]
 
 #: Fixed values of the word rule: what parts words, after A-Z were lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,6 +26,27 @@ def without(docs: DataFrame, placed: DataFrame, out: DataFrame, key: str) -> Dat
     return placed.join(out.withColumnRenamed(out.columns[0], key), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """16 bytes of SHA-256, never null, that tell rows of different id or text apart. Unlike a row's
+    place they are the same in every scan, however its files are dealt to partitions."""
+    own = [F.coalesce(F.sha2(c.cast("string"), 256), F.lit("")) for c in (id_, text)]
+    return F.substring(F.unhex(F.sha2(F.concat_ws("/", *own), 256)), 1, 16)
+
+
+def dropped(docs: DataFrame, out: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose key out (key, once) has; of those that are to stay once, one
+    stays. Rows that repeat id and text are counted before they are moved."""
+    out = written(out.distinct(), "dropped")
+    key = unused(docs)
+    placed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    rest = without(docs, placed, out.select("key"), key)
+    once = out.filter("once").select(F.col("key").alias(key))
+    if once.isEmpty():
+        return rest
+    one = placed.join(once, key, "left_semi").dropDuplicates([key])
+    return rest.unionByName(one.select(*[f"`{c}`" for c in docs.columns]))
+
+
 def unused(docs: DataFrame, name: str = "__row") -> str:
     """A column name that docs has not."""
     taken = {c.lower() for c in docs.columns}

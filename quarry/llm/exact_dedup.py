@@ -8,9 +8,10 @@ bytes, yet the one thing that moves between machines is each distinct chunk, onc
 and joined after that are recipes, some hundredth of the text.
 
 Defined results: null and empty texts are equal to each other; a null doc_id ranks below any other;
-of rows that tie on doc_id the one read last stays; an empty table gives an empty result; other
-columns of any name are left alone, and pass through ``deduplicate``. Rows are told apart by their
-place in the scan, so the input must be a table that reads the same each time.
+of rows that tie on doc_id the one read last stays, and of those that tie on text too any one does;
+an empty table gives an empty result; other columns of any name are left alone, and pass through
+``deduplicate``. Rows get a number in one scan, which is written; later scans, whose files may be
+dealt to other partitions, are matched with it by a key made of id and text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, unused, without, written
+from quarry.llm.common import ascii_lower, dropped, row_key, written
 
 #: A chunk ends, after MIN characters, behind the first place that matches CUT, or at MAX. CUT asks
 #: of nine characters in a row whether their code is even (of Latin-1; others count as odd), which
@@ -47,29 +48,32 @@ def identifier(lowered: DataFrame, column: str, tried=IDENTIFIERS):
     raise ValueError("two distinct chunks share every identifier tried")
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tried=IDENTIFIERS) -> DataFrame:
-    """row long, id, text_sha256 string, recipe array: one row per row of docs, written once."""
-    base = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("lowered"))
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tried=IDENTIFIERS, keyed: bool = False) -> DataFrame:
+    """row long, id, text_sha256 string, recipe array, key binary (null unless keyed): one row per
+    row of docs, written once."""
+    key = row_key(F.col(id_col), F.col(text_col)) if keyed else F.lit(None).cast("binary")
+    base = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("lowered"), key.alias("key"))
     of = identifier(base, "lowered", tried)
     return written(
         base.select(
             F.monotonically_increasing_id().alias("row"), "id",
             F.sha2(F.col("lowered"), 256).alias("text_sha256"),
-            F.transform(chunks(F.col("lowered")), lambda c: of(c)).alias("recipe"),
+            F.transform(chunks(F.col("lowered")), lambda c: of(c)).alias("recipe"), "key",
         ),
         "recipes",
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tried=IDENTIFIERS) -> DataFrame:
-    """row, id, keep_id, group_size, kept, text_sha256 of every row of docs.
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tried=IDENTIFIERS, keyed: bool = False) -> DataFrame:
+    """row, id, keep_id, group_size, kept, text_sha256 of every row of docs; keyed, also key and
+    once, whether the row that is kept has the same key.
 
     Counts and maxima are formed before the shuffle, so a hot group costs a row a task. Only
     groups of two rows and more are joined back; they are written first, so that the join is one
     that Spark can broadcast by size or split where a group is hot."""
-    own = recipes(docs, id_col, text_col, tried)
+    own = recipes(docs, id_col, text_col, tried, keyed)
     shared = own.groupBy("recipe").agg(
-        F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("n")
+        F.max(F.struct("id", "row", "key")).alias("last"), F.count("*").alias("n")
     )
     shared = written(shared.filter("n > 1"), "copies")
     return own.join(shared, "recipe", "left").select(
@@ -77,13 +81,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | (F.col("row") == F.col("last.row"))).alias("kept"),
-        "text_sha256",
+        "text_sha256", *(["key", (F.col("key") == F.col("last.key")).alias("once")] if keyed else []),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a row with a larger id has; all columns stay. The rows
-    to drop are matched by their place, which the text itself need not be moved for when few."""
-    out = groups(docs, id_col, text_col).filter(~F.col("kept")).select("row")
-    key = unused(docs)
-    return without(docs, docs.withColumn(key, F.monotonically_increasing_id()), out, key)
+    to drop are matched by key, which the text itself need not be moved for when few."""
+    out = groups(docs, id_col, text_col, keyed=True).filter(~F.col("kept")).select("key", "once")
+    return dropped(docs, out, id_col, text_col)

@@ -19,10 +19,11 @@ proportion to members times blocks. At similarity 0.8 a pair is missed by all ba
 probability of 5e-8, and by the pruning with at most about TOLERANCE a step.
 
 Defined results: null and empty texts, and those without words, have no shingles, no links and a
-class each; rows that repeat are linked like any equal sets; a null id ranks below any other; an
-empty table gives an empty result; other columns of any name are left alone, and pass through
-``deduplicate``. Rows are told apart by their place in the scan, so the input must be a table that
-reads the same each time.
+class each; rows that repeat are linked like any equal sets, and of those that repeat id and text
+any one may be kept; a null id ranks below any other; an empty table gives an empty result; other
+columns of any name are left alone, and pass through ``deduplicate``. Rows get a number in one scan,
+which is written; later scans, whose files may be dealt to other partitions, are matched with it by
+a key made of id and text.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.common import byte_words, unused, without, written
+from quarry.llm.common import byte_words, dropped, row_key, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -217,11 +218,11 @@ def _matrix(t: pa.Table) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pretokens.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return pretokens.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("key"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, id, set (16 bytes, null without shingles), n, sig: a row per row of docs."""
+    """row, id, key, set (16 bytes, null without shingles), n, sig: a row per row of docs."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream):
@@ -230,11 +231,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sig = iter(minhashes(full)) if full else iter(())
             own = [(xxhash.xxh3_128_digest(s.tobytes()), next(sig).tobytes()) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("id"), pa.array([a for a, _ in own], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array([b for _, b in own], pa.binary())],
-                ["row", "id", "set", "n", "sig"],
+                [part.column("row"), part.column("id"), part.column("key"), pa.array([a for a, _ in own], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array([b for _, b in own], pa.binary())],
+                ["row", "id", "key", "set", "n", "sig"],
             )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "row long, id long, set binary, n int, sig binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "row long, id long, key binary, set binary, n int, sig binary")
 
 
 def _dealt(members: DataFrame, key: str) -> DataFrame:
@@ -285,7 +286,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 
 def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """set, other, links: rows whose other is null add to a set's links (to documents of other
-    sets), the others are edges, a spanning forest with some over. nodes: set, component, row (of
+    sets), the others are edges, a spanning forest with some over. nodes: set, component, key (of
     a document that has it), copies."""
     least, ratio = least_matches(threshold, tolerance), Fraction(str(threshold))
 
@@ -327,24 +328,25 @@ def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, to
                 ["set", "other", "links"],
             )
 
-    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
     kept = F.broadcast(nodes.select(bucket).distinct())  # BUCKETS rows at most
-    texts = docs.select("*", bucket).join(kept, "bucket", "left_semi").drop("bucket", "id")
+    texts = docs.select("key", "text", bucket).join(kept, "bucket", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))  # rows may repeat id and text
     total = nodes.groupBy("component").agg(F.count("*").alias("total"))
     own = written(nodes.join(total, "component"), "nodes")
-    own = texts.join(own, "row").select("set", "component", "copies", "total", "text").mapInArrow(fetch, "set binary, component binary, copies long, total long, shingles binary, sig binary")
+    own = texts.join(own, "key").select("set", "component", "copies", "total", "text").mapInArrow(fetch, "set binary, component binary, copies long, total long, shingles binary, sig binary")
     return _dealt(own, "component").select("component", "p", "q", "side", "set", "copies", "shingles", "sig").mapInArrow(verify, "set binary, other binary, links long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """row, id, class_id, n_links, kept: a row per row of docs. Links are other rows of similarity
+    """row, id, class_id, n_links, kept, key, once: a row per row of docs. Links are other rows of similarity
     at the threshold or more; a class is what links connect, its id the least id in it; the row of
-    that id (the first, if repeated) is kept."""
+    that id (the first, if repeated) is kept; once says whether that row has the same key."""
     own = written(signatures(docs, id_col, text_col), "signatures")
-    sets = own.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    sets = own.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = written(sets, "sets")
     nodes = components(candidates(sets, threshold))
-    nodes = nodes.withColumnRenamed("node", "set").join(sets.select("set", F.col("first.row").alias("row"), "copies"), "set")
+    nodes = nodes.withColumnRenamed("node", "set").join(sets.select("set", F.col("first.key").alias("key"), "copies"), "set")
     found = written(verified(_texts(docs, id_col, text_col), written(nodes, "nodes"), threshold), "links")
     classes = components(found.filter("other is not null").select(F.col("set").alias("u"), F.col("other").alias("v")))
     links = found.filter("other is null").groupBy("set").agg(F.sum("links").alias("links"))
@@ -352,15 +354,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     some = written(some.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "set")), "linked")
     first = written(some.groupBy("component").agg(F.min("first").alias("class")), "classes")
     some = written(some.join(first, "component").select("set", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked-sets")
-    return own.select("row", "id", "set").join(some, "set", "left").select(
+    return own.select("row", "id", "key", "set").join(some, "set", "left").select(
         "row", "id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class.id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col("class").isNull() | (F.col("class.row") == F.col("row"))).alias("kept"),
+        "key", (F.col("key") == F.col("class.key")).alias("once"),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class; all columns stay."""
-    out = join(docs, id_col, text_col, threshold).filter(~F.col("kept")).select("row")
-    key = unused(docs)
-    return without(docs, docs.withColumn(key, F.monotonically_increasing_id()), out, key)
+    out = join(docs, id_col, text_col, threshold).filter(~F.col("kept")).select("key", "once")
+    return dropped(docs, out, id_col, text_col)
