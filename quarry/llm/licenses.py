@@ -1,7 +1,8 @@
 """License scans: phrases in place, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, taken as the set of its words; a template is the set of the words of a
-licence notice. The join finds every pair in which the block holds at least THRESHOLD of the
+A block is a line of a text, taken as the set of its words, or, where no line of it meets a template,
+as many consecutive words over line ends as the template's notice has, so that a notice is found
+however it is wrapped. A template is the set of the words of a licence notice. The join finds every pair in which the block holds at least THRESHOLD of the
 template's words:
 
 * Words are ordered by the number of documents of the corpus that have them, the rarest first; words
@@ -23,6 +24,7 @@ empty result; other columns of any name are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -64,6 +66,7 @@ class Template:
     label: str
     words: tuple[bytes, ...]  # in the global order
     needed: int  # words in common
+    length: int  # of the notice, in words
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -77,10 +80,11 @@ class Join:
     templates: list[Template]
 
     def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
-        sets = [(label, set(re.findall(BYTE_WORD, text.encode().lower()))) for label, text in templates]
-        order = sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
+        notices = [(label, re.findall(BYTE_WORD, text.encode().lower())) for label, text in templates]
+        sets = [(label, set(own), len(own)) for label, own in notices]
+        order = sorted({w for _, s, _ in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(order)}
-        self.templates = [Template(label, tuple(sorted(s, key=self.rank.__getitem__)), math.ceil(threshold * len(s) - 1e-9)) for label, s in sets]
+        self.templates = [Template(label, tuple(sorted(s, key=self.rank.__getitem__)), math.ceil(threshold * len(s) - 1e-9), n) for label, s, n in sets]
         self.index: dict[bytes, list[int]] = {}
         for k, t in enumerate(self.templates):
             for w in t.prefix:
@@ -102,10 +106,32 @@ class Join:
                 at = low.find(w, line[1])  # the line is found; on with the next
         return found
 
+    def wrapped(self, low: bytes, end: int, k: int) -> list[tuple[int, int, int, float]]:
+        """The first of the best blocks of template k's length, over the line end before byte `end`,
+        that meet the threshold."""
+        t = self.templates[k]
+        near = _before(low, end, t.length - 1) + _after(low, end, t.length - 1)
+        best: list[tuple[int, int, int, float]] = []
+        for i in range(max(1, len(near) - t.length + 1)):
+            own = near[i : i + t.length]
+            common = len({w for _, _, w in own}.intersection(t.words))
+            if common >= t.needed and (not best or common / len(t.words) > best[0][3]):
+                best = [(own[0][0], own[-1][1], k, common / len(t.words))]
+        return best
+
     def blocks(self, low: bytes, wordly: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(from, to, template, containment) of every line that meets the threshold."""
+        """(from, to, template, containment) of every line that meets the threshold, and of blocks
+        over line ends that do and hold nothing of such a line."""
+        found = self.candidates(low, wordly)
+        lines = self.lines(low, found)
+        ends = sorted({(end, k) for (a, b), templates in found.items() for k in templates for end in (a, b + 1) if 0 < end < len(low)})
+        more = {x for end, k in ends for x in self.wrapped(low, end, k)}
+        return sorted(lines + [x for x in more if not any(x[2] == k and x[0] < b and a < x[1] for a, b, k, _ in lines)])
+
+    def lines(self, low: bytes, found: dict[tuple[int, int], set[int]]) -> list[tuple[int, int, int, float]]:
+        """Those of the candidates that meet the threshold."""
         out = []
-        for (a, b), templates in sorted(self.candidates(low, wordly).items()):
+        for (a, b), templates in sorted(found.items()):
             own = set().union(*byte_words(low[a:b]))
             ranks = sorted(self.rank[w] for w in own & self.rank.keys())
             for k in sorted(templates):
@@ -123,6 +149,22 @@ class Join:
         return out
 
 
+def _after(low: bytes, at: int, n: int) -> list[tuple[int, int, bytes]]:
+    """(from, to, word) of the first n words from a line's begin on."""
+    return [(m.start(), m.end(), m[0]) for m in itertools.islice(re.compile(BYTE_WORD).finditer(low, at), n)]
+
+
+def _before(low: bytes, at: int, n: int) -> list[tuple[int, int, bytes]]:
+    """The last n words before a line's begin, in order."""
+    size = 64 * n
+    while True:
+        first = max(0, at - size)
+        found = [(m.start(), m.end(), m[0]) for m in re.compile(BYTE_WORD).finditer(low, first, at)]
+        if first == 0 or len(found) > n:  # the first may be cut
+            return found[-n:]
+        size *= 4
+
+
 def places(low: bytes, phrases: Iterable[str]) -> list[tuple[int, str]]:
     """(byte offset, phrase) wherever a phrase's words stand one behind the other. A phrase whose
     first word the text lacks isn't looked for."""
@@ -156,8 +198,8 @@ def frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") ->
 
 
 def blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, begin, end (bytes of the line in the text), label, containment: every line that meets
-    the threshold of a template."""
+    """id, begin, end (bytes of the block in the text), label, containment: every block that
+    meets the threshold of a template."""
     join = Join(frequencies(docs, templates, text_col), templates, threshold)
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
