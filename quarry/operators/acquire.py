@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -45,15 +46,18 @@ def wanted_files(found: DataFrame, out: str = "", max_bytes: int = text.MAX_FILE
     return own.withColumn("save_path", text.save_path(out, F.col("slug"), F.col("path"), name))
 
 
-def expand(roots: DataFrame, lister: Callable[[DataFrame], DataFrame], max_depth: int = 100) -> DataFrame:
+def expand(roots: DataFrame, lister: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame:
     """slug, depth and entry of every file below roots (slug, url), a level of folders at a time:
     lister gives the entries, with slug, of the folders (slug, url) of a level. A folder is
-    listed once however often it is linked; each level is a written table."""
+    listed once however often it is linked; each level is a written table. Folders left behind
+    max_depth levels are an error; unset, there is no bound."""
     level = written(roots.select("slug", "url").distinct(), "frontier")
     done, files = level, None
-    for depth in range(max_depth):
+    for depth in itertools.count():
         if level.isEmpty():
             break
+        if depth == max_depth:
+            raise RuntimeError(f"folders are left below {max_depth} levels")
         found = written(lister(level), "entries")
         own = found.filter("type = 'file'").withColumn("depth", F.lit(depth))
         files = own if files is None else files.unionByName(own)
