@@ -8,11 +8,12 @@ and no piece is ever built: the counts of the links taken are summed. All words
 step, a byte a round, through a hash table of (node, byte); a worker keeps the counts of words seen.
 
 A word is a run of word characters or any other single character that is not white space. A word
-that the pieces can't spell counts as one unknown token.
+that no piece for beginnings begins, as most words of some scripts, begins with a piece that goes on
+words; one that the pieces can't spell at all counts as one unknown token.
 
-Defined results: null and empty texts have no words and no tokens; words of any length are counted
-whole; rows that repeat get the same counts; an empty table gives an empty one; other columns of any
-name are passed by.
+Defined results: null and empty texts have no words and no tokens; texts of any length are counted
+whole, in parts, and words of any length too; rows that repeat or tie get the same counts; an empty
+table gives an empty one; ids may be of any type; other columns of any name are passed by.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def pieces_of(path: str) -> tuple[list[bytes], list[bytes]]:
 
 
 class Automaton:
-    """Counts the pieces of words; root is node 0, the root of pieces that go on node 1."""
+    """Counts the pieces of words; root is node 0, the root of pieces that go on node 1, where words
+    begin too whose beginning is no piece below node 0."""
 
     def __init__(self, begin: Iterable[bytes], go_on: Iterable[bytes]):
         child: list[dict[int, int]] = [{}, {}]
@@ -68,6 +70,7 @@ class Automaton:
                     at = child[at][b]
                 whole[at] = True
         fail, popped = [-1] * len(child), [0] * len(child)
+        fail[0] = 1  # a beginning that has no piece of its own
         queue = deque([0, 1])
         while queue:
             u = queue.popleft()
@@ -172,5 +175,5 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return own.mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long")
+    own = pretokens.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")

@@ -15,21 +15,42 @@ def shown(data):
     return "".join(SHOWN[b] for b in data)
 
 
-def library(begin, go_on):
-    tokens = ["[UNK]", *(shown(p) for p in begin), *("##" + shown(p) for p in go_on)]
-    return WordPiece({t: k for k, t in enumerate(tokens)}, unk_token="[UNK]", max_input_chars_per_word=10**9, continuing_subword_prefix="##")
+class Library:
+    """The library's greedy pieces; a word that no piece of begin begins is given to a model whose
+    words begin with pieces that go on."""
+
+    def __init__(self, begin, go_on):
+        self.begin, self.go_on, self.model, self.other = set(begin), set(go_on), self.made(begin, go_on), self.made(go_on, go_on)
+
+    def made(self, begin, go_on):
+        tokens = ["[UNK]", *(shown(p) for p in begin), *("##" + shown(p) for p in go_on)]
+        return WordPiece({t: k for k, t in enumerate(tokens)}, unk_token="[UNK]", max_input_chars_per_word=10**9, continuing_subword_prefix="##")
+
+    def __call__(self, word):
+        """(pieces, whether unknown)."""
+        if len(word) > 500:  # the library takes long for these
+            return self.greedy(word)
+        model = self.model if any(word[:k] in self.begin for k in range(1, len(word) + 1)) else self.other
+        got = [t.value for t in model.tokenize(shown(word))]
+        return (1, True) if got == ["[UNK]"] else (len(got), False)
+
+    def greedy(self, word):
+        longest, at, n = max(map(len, self.begin | self.go_on)), 0, 0
+        while at < len(word):
+            k = next((k for own in ((self.begin, self.go_on) if at == 0 else (self.go_on,)) for k in range(longest, 0, -1) if word[at : at + k] in own and at + k <= len(word)), 0)
+            if not k:
+                return 1, True
+            at, n = at + k, n + 1
+        return n, False
 
 
 def brute(model, word):
-    """(pieces, whether unknown)."""
-    got = [t.value for t in model.tokenize(shown(word))]
-    return (1, True) if got == ["[UNK]"] else (len(got), False)
+    return model(word)
 
 
 @pytest.fixture(scope="module")
 def public():
-    begin, go_on = wordpiece.pieces_of(wordpiece.default_path())
-    return library(begin, go_on)
+    return Library(*wordpiece.pieces_of(wordpiece.default_path()))
 
 
 def test_count(odd, empty, public):
@@ -46,8 +67,10 @@ def test_count(odd, empty, public):
 def test_any_vocabulary(begin, go_on, words):
     begin, go_on, words = ([x.encode() for x in y] for y in (begin, go_on, words))
     got = wordpiece.Automaton(begin, go_on).counts(words)
-    model = library(sorted(set(begin)), sorted(set(go_on)))
+    model = Library(sorted(set(begin)), sorted(set(go_on)))
     assert [(1, True) if n < 0 else (n, False) for n in got.tolist()] == [brute(model, w) for w in words]
+    if begin or go_on:
+        assert [model.greedy(w) for w in words] == [brute(model, w) for w in words]
 
 
 def test_plain_cut():
@@ -65,3 +88,9 @@ def test_parts(monkeypatch, public):
     monkeypatch.setattr(pretokens, "BYTES", 200)
     got = pretokens.by_text([text], wordpiece.splitter(), wordpiece.table(wordpiece.default_path()))[0]
     assert [abs(n) for n in got.tolist()] == want
+
+
+@pytest.mark.parametrize("text", ["สวัสดีชาวโลก", "яблоко э", "뷁뛟 안녕"])
+def test_words_without_a_beginning_are_spelled(spark, text, public):
+    row = wordpiece.count(spark.createDataFrame([("x", text)], "doc_id string, text string")).first()
+    assert row.id == "x" and row.n_unknown == 0 and row.n_tokens == sum(public(w.encode())[0] for w in regex.findall(wordpiece.WORD, text)) > row.n_words
