@@ -12,14 +12,17 @@ and beside it ``.idx`` has the 8-byte offset of each record, so that a shuffled
 record at once. A checksum c is masked as ((c >> 15 | c << 17) + 0xa282ead8) mod 2**32, as usual for
 checksums that stand within checked data.
 
-Rows are dealt to tasks by ranges of id, ties by a hash of the text; each task sorts its range
-(Spark spills), encodes it and writes it as a stream, to one file after another. Two attempts at a task
-write two files; the manifest, a Spark table, names the one whose task committed. Files are written
-and read through ``pyarrow.fs``, so the folder can be any that it knows.
-
-Defined results: null texts are empty and give the end id alone; null ids come first; rows that tie
-on id are ordered by a hash of their text, equal rows anyhow; an empty table gives an empty manifest;
-other columns of any name are not read. A damaged record raises an error when read.
+Rows are dealt to tasks by ranges of id, ties by a hash of the text, then by their place in the scan,
+so that rows which repeat are dealt like any others; each task sorts its range (Spark spills), encodes
+it and writes it as a stream, to one file after another. Two attempts at a task write two files; the
+manifest, a Spark table, names the one whose task committed. Files are written and read through
+``pyarrow.fs``, so the folder can be any that it knows. ``read`` streams files in order; ``shuffled``
+deals single records, by the index, in a seeded order over all files.
+
+Defined results: null and empty texts give the end id alone; texts of any length are one record; ids
+are whole numbers, and any other type is an error; null ids come first; rows that tie on id are ordered
+by a hash of their text, equal rows anyhow; an empty table gives an empty manifest; other columns of
+any name are not read. A damaged record raises an error when read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import json
 import os
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,13 +39,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quarry.llm import pretokens
 from quarry.llm.common import shared_path, written
 
 #: Bytes of text that a range of ids is planned for, ranges at most, and the number of times
 #: FILE_BYTES after which a range goes on in another file.
-FILE_BYTES, RANGES, ROLL = 32 << 20, 10_000, 4
+FILE_BYTES, RANGES, ROLL = 32 << 20, 200_000, 4
+#: Files that a shuffled reader's task holds open, and records of a task.
+OPEN, DEALT = 64, 20_000
 #: Pieces that the library encodes in a call; what it gives back is large beside their ids.
 AT_ONCE = 2000
 MANIFEST = "part int, number int, path string, n_records long, n_ids long, width int"
@@ -140,11 +147,13 @@ def default_path() -> str:
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the records of docs to files in folder; returns the manifest, MANIFEST."""
     path = path or default_path()
-    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; records have whole numbers as ids")
+    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place")))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(RANGES, max(1, -(-total // file_bytes)))
-    key = [F.asc_nulls_first("id"), F.xxhash64("text")]
-    dealt = own.repartitionByRange(ranges, *key).sortWithinPartitions(*key)
+    key = [F.asc_nulls_first("id"), F.xxhash64("text"), F.col("place")]
+    dealt = own.repartitionByRange(ranges, *key).sortWithinPartitions(*key).drop("place")
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, encode = TaskContext.get(), encoding(path)
@@ -215,15 +224,69 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "n_tokens", "ids_crc32"])
 
 
+class _Reader:
+    """Records of some files by their number, through the offset indexes; keeps OPEN files open."""
+
+    def __init__(self):
+        self.held: OrderedDict[str, tuple] = OrderedDict()
+
+    def __call__(self, path: str, number: int, width: int) -> tuple[int | None, np.ndarray]:
+        if path not in self.held:
+            fs, at = file_system(path)
+            self.held[path] = fs.open_input_file(f"{at.removesuffix('.rec')}.idx"), fs.open_input_file(at)
+            if len(self.held) > OPEN:
+                for f in self.held.popitem(last=False)[1]:
+                    f.close()
+        self.held.move_to_end(path)
+        index, records = self.held[path]
+        offset = int(np.frombuffer(index.read_at(8, 8 * number), "<u8")[0])
+        records.seek(offset)
+        return content(unframe(records.read, offset), width)
+
+    def close(self) -> None:
+        for files in self.held.values():
+            for f in files:
+                f.close()
+        self.held.clear()
+
+
 def open_record(path: str, number: int, width: int = 2) -> tuple[int | None, np.ndarray]:
     """A record by its number in the file, through the offset index: (id, ids)."""
-    fs, at = file_system(path)
-    with fs.open_input_file(f"{at.removesuffix('.rec')}.idx") as f:
-        offset = int(np.frombuffer(f.read_at(8, 8 * number), "<u8")[0])
-    with fs.open_input_file(at) as f:
-        f.seek(offset)
-        payload = unframe(f.read, offset)
-    return content(payload, width)
+    reader = _Reader()
+    try:
+        return reader(path, number, width)
+    finally:
+        reader.close()
+
+
+def shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
+    """place, id, ids: every record once, place (from 0) its rank in an order over all files that the
+    seed decides. Some DEALT records go to a task by ranges of a hash, so that no task has more than
+    its share; a record is read by its offset, whatever file it is in."""
+    every = manifest.select("path", "width", F.xxhash64(F.lit(seed), "part", "number").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1)).alias("number"))
+    every = every.withColumn("order", F.xxhash64("file", "number")).drop("file")
+    total = manifest.agg(F.sum("n_records")).first()[0] or 0
+    parts = max(1, -(-total // DEALT))
+    part = F.floor((F.col("order") / F.lit(2.0**64) + F.lit(0.5)) * parts).cast("int")  # of all hashes, in order
+    dealt = written(every.withColumn("part", F.greatest(F.lit(0), F.least(part, F.lit(parts - 1)))), "shuffled")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row a task
+    inside = Window.partitionBy("part").orderBy("order", "path", "number")
+    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(first, "part").select("part", (F.col("first") + F.col("rank")).alias("place"), "path", "number", "width")
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader()
+        try:
+            for batch in stream:
+                for at in range(0, batch.num_rows, 100):
+                    rows = batch.slice(at, 100).to_pylist()
+                    got = [reader(r["path"], r["number"], r["width"]) for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["place"] for r in rows], pa.int64()), pa.array([k for k, _ in got], pa.int64()), pa.array([x.astype(np.int32) for _, x in got], pa.list_(pa.int32()))], ["place", "id", "ids"])
+        finally:
+            reader.close()
+
+    return ranked.repartition(parts, "part").sortWithinPartitions("place").mapInArrow(run, "place long, id long, ids array<int>")
 
 
 def fresh_folder(spark: SparkSession) -> str:

@@ -78,3 +78,25 @@ def test_a_tokenizer_of_another_kind():
     library.encode_special_tokens = True
     texts = ["Some Words here", "", "and <|endoftext|> more"]
     assert not encoding.by_piece and [x.tolist() for x in encoding(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shuffled(odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "OPEN", 2)
+    monkeypatch.setattr(records, "DEALT", 40)
+    manifest = records.write(odd, str(tmp_path), file_bytes=20_000)
+    rows = sorted(records.shuffled(manifest, 1).collect())
+    assert [r.place for r in rows] == list(range(len(odd_texts())))
+    want = sorted(((i, ids_of(t)) for i, t in odd_texts()), key=repr)
+    assert sorted(((r.id, r.ids) for r in rows), key=repr) == want
+    again, other = (sorted(records.shuffled(manifest, k).collect()) for k in (1, 2))
+    assert again == rows and [r.ids for r in other] != [r.ids for r in rows]
+    assert len({r.id for r in rows[:40]} - {None}) > 20  # of many files
+
+
+def test_shuffled_nothing(empty, tmp_path):
+    assert records.shuffled(records.write(empty, str(tmp_path))).collect() == []
+
+
+def test_ids_must_be_whole_numbers(spark, tmp_path):
+    with pytest.raises(TypeError, match="whole numbers"):
+        records.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path))
