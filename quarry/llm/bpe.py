@@ -7,9 +7,10 @@ gap, and rows without a pair left leave the matrix. Any two neighbours whose byt
 token make a pair, and its rank is that token's id. Pieces of over MATRIX_BYTES bytes, where rounds
 would cost the square of the length, are merged in the same order from a heap.
 
-Defined results: null texts are empty and have no ids; equal texts have equal ids whatever row they
-stand in; texts of any length are encoded whole, in parts whose ids are joined; an empty table gives
-an empty one; other columns of any name are passed by.
+Defined results: null and empty texts have no ids; equal texts, as of rows that repeat or tie, have
+equal ids whatever row they stand in; texts of any length are encoded whole, in parts whose ids are
+joined; an empty table gives an empty one; ids of rows may be of any type and null; other columns of
+any name are passed by.
 """
 
 from __future__ import annotations
@@ -195,6 +196,10 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def _type(own: DataFrame) -> str:
+    return own.schema["id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """id, ids array<int>: a row per row of docs."""
     path, pattern = path or default_path(), pattern or default_pattern()
@@ -207,8 +212,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
-    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return own.mapInArrow(run, "id long, ids array<int>")
+    own = pretokens.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return own.mapInArrow(run, f"id {_type(own)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -221,7 +226,8 @@ def decode(encoded: DataFrame, id_col: str = "id", ids_col: str = "ids", path: s
             texts = [own.decode(np.asarray(x or [], np.int64)) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.binary())], ["id", "decoded"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, decoded binary")
+    own = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return own.mapInArrow(run, f"id {_type(own)}, decoded binary")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -239,5 +245,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 b.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return own.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    own = pretokens.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return own.mapInArrow(run, f"id {_type(own)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
