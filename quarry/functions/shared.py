@@ -85,3 +85,16 @@ def _forget(spark: SparkSession, table: str) -> None:
     """Takes a table's name out of the catalog, if there is one left."""
     with contextlib.suppress(Exception):
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, own: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what is run inside; its own come back."""
+    held = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,9 +64,19 @@ def excerpt(message: Column, most: int = 200) -> Column:
     return F.substring(message, 1, most)
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def lines(text: Column) -> Column:
-    """The lines of a text, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """The lines of a text, without white space at their ends and without blank ones."""
+    return F.filter(F.transform(F.split(text, r"\r?\n"), stripped), lambda x: x != "")
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), for which the value is worked out once, also where it stands in a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def hashed(seed, *parts: Column) -> Column:

@@ -87,7 +87,9 @@ def _map(of: dict) -> Column:
 
 
 def encode(tokens: Column) -> Column:
-    """The ids of an array of tokens; unknown tokens are dropped. The map folds to a constant."""
+    """The ids of an array of tokens; unknown tokens are dropped. The map folds to a constant, which
+    is searched from its begin for each token: for short arrays of a table. Where tokens are made,
+    tokenize.tokenized_ids() numbers them by a dictionary."""
     return F.filter(F.transform(tokens, lambda t: F.try_element_at(_map(IDS), t)), lambda i: i.isNotNull())
 
 
@@ -96,6 +98,19 @@ def unknown(tokens: Column) -> Column:
     return F.array_except(tokens, F.array(*map(F.lit, TOKENS)))
 
 
+def _by_place(closes: dict[int, int], x: Column) -> tuple[Column, Column]:
+    """(the closing symbol of x or null, whether x is one) for symbols that are small numbers, each
+    found by its place in an array."""
+    size = max((*closes, *closes.values())) + 1
+    shuts = set(closes.values())
+    close = F.get(F.array(*(F.lit(closes.get(i)).cast("int") for i in range(size))), x)
+    return close, F.coalesce(F.get(F.array(*(F.lit(i in shuts) for i in range(size))), x), F.lit(False))
+
+
+def _by_search(closes: dict[str, str], x: Column) -> tuple[Column, Column]:
+    return F.try_element_at(_map(closes), x), F.array_contains(F.array(*(F.lit(v) for v in closes.values())), x)
+
+
 def balance(symbols: Column, closes: dict) -> Column:
     """(rate, strict) of an array of symbols under a map from opening to closing ones.
 
@@ -104,15 +119,15 @@ def balance(symbols: Column, closes: dict) -> Column:
     free; without openings the rate is 1. Strict is whether all match and none is left open."""
     text = isinstance(next(iter(closes)), str)
     empty = F.array().cast("array<string>" if text else "array<int>")
-    opens, shuts = _map(closes), F.array(*(F.lit(v) for v in closes.values()))
     zero = F.struct(empty.alias("stack"), F.lit(0).alias("ok"), F.lit(0).alias("total"), F.lit(False).alias("bad"))
 
     def step(s: Column, x: Column) -> Column:
-        top, depth, close = F.try_element_at(s["stack"], F.lit(-1)), F.size(s["stack"]), F.try_element_at(opens, x)
+        close, shuts = (_by_search if text else _by_place)(closes, x)
+        top, depth = F.try_element_at(s["stack"], F.lit(-1)), F.size(s["stack"])
         own = F.coalesce(top == x, F.lit(False))
         shut = F.struct(F.slice(s["stack"], 1, F.greatest(depth - 1, F.lit(0))).alias("stack"), (s["ok"] + own.cast("int")).alias("ok"), s["total"].alias("total"), (s["bad"] | ~own).alias("bad"))
         opened = F.struct(F.concat(s["stack"], F.array(close)).alias("stack"), s["ok"].alias("ok"), (s["total"] + 1).alias("total"), s["bad"].alias("bad"))
-        return F.when(close.isNotNull(), opened).when(F.array_contains(shuts, x), shut).otherwise(s)
+        return F.when(close.isNotNull(), opened).when(shuts, shut).otherwise(s)
 
     return F.aggregate(
         symbols, zero, step,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -30,15 +30,28 @@ def new_repositories(found: DataFrame, seen: DataFrame, order=("page", "place"))
     return own.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
+def _parts() -> Column:
+    """The elements of a listing's body as texts; null if it is no JSON."""
+    body = F.trim("body")
+    return F.from_json(F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))), "array<string>")
+
+
 def entries(listings: DataFrame, *keep: str) -> DataFrame:
     """The entries of listings (body: a JSON list, or one object that counts as such); elements
     that aren't objects are left out."""
-    body = F.trim("body")
-    parts = F.from_json(F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))), "array<string>")
-    one = listings.select(*keep, F.explode(parts).alias("entry")).filter(F.trim("entry").startswith("{"))
+    one = listings.select(*keep, F.explode(_parts()).alias("entry")).filter(F.trim("entry").startswith("{"))
     return one.select(*keep, F.from_json("entry", ENTRY).alias("e")).select(*keep, "e.*")
 
 
+def listed(fetched: DataFrame, *keep: str) -> DataFrame:
+    """What listings (url, body, error: null or why there is none) come to: their entries, with a null
+    error, and a row with url and error for each that failed or can't be read."""
+    own = fetched.withColumn("body", F.make_valid_utf8(F.col("body").cast("string")))
+    error = F.coalesce("error", F.when(_parts().isNull(), "the listing is no JSON"))
+    lost = own.select(*keep, "url", error.alias("error")).filter("error is not null")
+    return entries(own.filter("error is null"), *keep).withColumn("error", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
+
+
 def wanted_files(found: DataFrame, out: str = "", max_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
     """The file entries that are to be fetched, with the place to save each."""
     name = F.coalesce("name", F.lit(""))
@@ -48,9 +61,10 @@ def wanted_files(found: DataFrame, out: str = "", max_bytes: int = text.MAX_FILE
 
 def expand(roots: DataFrame, lister: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame:
     """slug, depth and entry of every file below roots (slug, url), a level of folders at a time:
-    lister gives the entries, with slug, of the folders (slug, url) of a level. A folder is
-    listed once however often it is linked; each level is a written table. Folders left behind
-    max_depth levels are an error; unset, there is no bound."""
+    lister gives the entries, with slug, of the folders (slug, url) of a level. Rows of its that have an
+    error, if it has such a column, stand for folders that couldn't be listed, and are given too. A
+    folder is listed once however often it is linked; each level is a written table. Folders left
+    behind max_depth levels are an error; unset, there is no bound."""
     level = written(roots.select("slug", "url").distinct(), "frontier")
     done, files = level, None
     for depth in itertools.count():
@@ -59,7 +73,8 @@ def expand(roots: DataFrame, lister: Callable[[DataFrame], DataFrame], max_depth
         if depth == max_depth:
             raise RuntimeError(f"folders are left below {max_depth} levels")
         found = written(lister(level), "entries")
-        own = found.filter("type = 'file'").withColumn("depth", F.lit(depth))
+        lost = F.col("error").isNotNull() if "error" in found.columns else F.lit(False)
+        own = found.filter((F.col("type") == "file") | lost).withColumn("depth", F.lit(depth))
         files = own if files is None else files.unionByName(own)
         level = written(found.filter("type = 'dir'").select("slug", "url").distinct().join(done, ["slug", "url"], "left_anti"), "frontier")
         done = done.union(level)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import argparse
+import sys
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 
+# The names of the settings and what they are unless given.
 @dataclass
 class Prepare:
     src: str = "scraped_code"
@@ -40,11 +42,33 @@ class Acquire:
     concurrency: int = 20
 
 
-def parsed(kind: type, args: list[str] | None = None):
-    """Settings from --name value arguments; truth is written 1, true or yes."""
-    parser = argparse.ArgumentParser()
-    for f in fields(kind):
-        type_ = type(f.default)
-        read = (lambda s: s.lower() in ("1", "true", "yes")) if type_ is bool else type_
-        parser.add_argument("--" + f.name.replace("_", "-"), type=read, default=f.default)
-    return kind(**vars(parser.parse_args(args)))
+#: How a word is written that means truth.
+TRUE = frozenset({"1", "true", "yes"})
+
+
+class UsageError(SystemExit):
+    """Arguments that can't be read; ends a command with code 2."""
+
+    def __init__(self, message: str):
+        print(message, file=sys.stderr)
+        super().__init__(2)
+
+
+def parsed(kind: type, args: Sequence[str] | None = None):
+    """Settings of a kind from words ``--name value`` or ``--name=value``, where a name's ``_`` may be
+    written ``-``; what isn't named keeps its default, and of a name given twice the last counts."""
+    known, given = {f.name: type(f.default) for f in fields(kind)}, {}
+    words = iter(sys.argv[1:] if args is None else args)
+    for word in words:
+        name, equals, value = word.removeprefix("--").partition("=")
+        name = name.replace("-", "_")
+        if not word.startswith("--") or name not in known:
+            raise UsageError(f"unknown argument {word}; there are " + ", ".join(f"--{n.replace('_', '-')}" for n in known))
+        value = value if equals else next(words, None)
+        if value is None:
+            raise UsageError(f"{word} needs a value")
+        try:
+            given[name] = value.lower() in TRUE if known[name] is bool else known[name](value)
+        except ValueError:
+            raise UsageError(f"{word} needs a value of type {known[name].__name__}, not {value}") from None
+    return kind(**given)
