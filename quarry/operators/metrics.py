@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import vocab
+from quarry.functions.text import let
 
 
 def with_balance(found: DataFrame, symbols: str = "ids", closes: dict | None = None) -> DataFrame:
@@ -16,19 +18,31 @@ def with_balance(found: DataFrame, symbols: str = "ids", closes: dict | None = N
     return found.withColumn("__balance", own).withColumns({"balance": F.col("__balance.rate"), "strict": F.col("__balance.strict")}).drop("__balance")
 
 
-def depths(symbols: DataFrame, key: str, pos: str, change: Column) -> DataFrame:
-    """symbols with depth, the running sum of change by key in the order of pos."""
-    return symbols.withColumn("depth", F.sum(change).over(Window.partitionBy(key).orderBy(pos)))
+def nesting(symbols: Column, change: Callable[[Column], Column]) -> Column:
+    """(most, last): the greatest and the final depth of an array of symbols, each of which changes
+    the depth by change(symbol); nulls for an empty array. Within the row, in one pass."""
+    zero = F.struct(F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("most"))
 
+    def step(s: Column, x: Column) -> Column:
+        now = s["depth"] + change(x)
+        return F.struct(now.alias("depth"), F.coalesce(F.greatest(s["most"], now), now).alias("most"))
 
-def first_subtree(symbols: DataFrame, key: str, pos: str, symbol: str, open_: str, close: str) -> DataFrame:
-    """The rows from each key's first `open_` to the `close` that brings it back to its level."""
-    change = F.when(F.col(symbol) == open_, 1).when(F.col(symbol) == close, -1).otherwise(0)
-    by = Window.partitionBy(key).orderBy(pos)
-    own = symbols.withColumn("__first", F.min(F.when(F.col(symbol) == open_, F.col(pos))).over(Window.partitionBy(key))).filter(F.col(pos) >= F.col("__first"))
-    own = own.withColumn("__depth", F.sum(change).over(by))
-    own = own.withColumn("__end", F.min(F.when(F.col("__depth") == 0, F.col(pos))).over(Window.partitionBy(key)))
-    return own.filter(F.col("__end").isNull() | (F.col(pos) <= F.col("__end"))).drop("__first", "__depth", "__end")
+    return F.aggregate(symbols, zero, step, lambda s: F.struct(s["most"].alias("most"), F.when(s["most"].isNotNull(), s["depth"]).alias("last")))
+
+
+def first_subtree(symbols: Column, open_: str, close: str) -> Column:
+    """The part of an array from its first `open_` to the `close` that brings it back to its level,
+    or to the end without one; empty without an `open_`."""
+    first = F.array_position(symbols, F.lit(open_)).cast("int")
+    rest = F.slice(symbols, F.greatest(first, F.lit(1)), F.size(symbols))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x == open_, 1).when(x == close, -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), (depth == 0).alias("done")))
+
+    n = F.aggregate(rest, zero, step, lambda s: s["n"])
+    return F.when(first > 0, F.slice(rest, 1, n)).otherwise(F.slice(symbols, 1, 0))
 
 
 def learning_rate(step: Column, lr: float = 3e-4, min_lr: float = 3e-5, warmup: int = 200, max_steps: int = 20_000) -> Column:
@@ -46,8 +60,9 @@ def interval_means(steps: DataFrame, step: str, value: str, every: int = 10) ->
 
 
 def interval_latency(steps: DataFrame, step: str, micros: str, every: int = 10) -> DataFrame:
-    """interval, latency: seconds a step from the end of the interval before. Intervals are few
-    beside steps, and are put in order by cells of a thousand with the last of the cell before."""
+    """interval, latency: seconds a step from the end of the interval before; an interval that has
+    none before it is not reported. Intervals are few beside steps, and each is joined with the one
+    of the number before."""
     own = steps.groupBy(F.floor((F.col(step) - 1) / every).alias("interval")).agg(F.count("*").alias("n"), F.max(micros).alias("t"))
     before = own.select((F.col("interval") + 1).alias("interval"), F.col("t").alias("prev"))
     return own.join(before, "interval").filter(F.col("n") == every).select("interval", ((F.col("t") - F.col("prev")) / 1e6 / every).alias("latency"))
@@ -58,18 +73,22 @@ def mean_of_first(losses: DataFrame, order: str, value: str, iters: int = 20) ->
     return losses.orderBy(order).limit(iters).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
 
 
-def top_k(logits: DataFrame, key: str, logit: str, k: int) -> DataFrame:
-    """The rows of each key whose logit is at least its k-th largest; ties at that place stay."""
-    by = Window.partitionBy(key).orderBy(F.desc(logit))
-    return logits.withColumn("rank", F.rank().over(by)).filter(F.col("rank") <= k)
+def top_k(logits: Column, k: int) -> Column:
+    """(idx from 0, logit, rank) of the entries of an array that are at least its k-th largest, of
+    which there may be fewer; ties at that place stay, and have one rank. Within the row."""
+
+    def among(order: Column) -> Column:
+        each = F.transform(logits, lambda x, i: F.struct(i.alias("idx"), x.alias("logit"), F.array_position(order, x).cast("int").alias("rank")))
+        return F.filter(each, lambda e: e["rank"] <= k)
+
+    return let(F.sort_array(logits, asc=False), among)
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """The probabilities of an array of logits; temperatures below 1e-6 count as that."""
     scaled = F.transform(logits, lambda x: x.cast("double") / max(temperature, 1e-6))
-    powers = F.transform(scaled, lambda x: F.exp(x - F.array_max(scaled)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(scaled, lambda own: let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top))))
+    return let(powers, lambda own: let(F.aggregate(own, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(own, lambda x: x / total)))
 
 
 def draw(probabilities: Column, u: Column) -> Column:
@@ -83,8 +102,19 @@ def draw(probabilities: Column, u: Column) -> Column:
     return F.aggregate(probabilities, state, step, lambda s: F.coalesce(s["hit"], s["i"] - 1))
 
 
+def next_token(logits: Column, u: Column, temperature: float = 1.0, k: int | None = None) -> Column:
+    """A step of generation from a row's logits: scaled by the temperature, cut to the k largest (and
+    their ties), made probabilities, and one index drawn by u (0 to 1)."""
+    if k is None:
+        return draw(softmax(logits, temperature), u)
+    return let(top_k(logits, k), lambda kept: F.get(kept, draw(softmax(F.transform(kept, lambda e: e["logit"]), temperature), u))["idx"])
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """The logarithm of the summed exponents less the target's logit (targets from 0)."""
     x = F.transform(logits, lambda v: v.cast("double"))
-    top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))) - F.element_at(x, target + 1)
+
+    def loss(own: Column) -> Column:
+        return let(F.array_max(own), lambda top: top + F.log(F.aggregate(own, F.lit(0.0), lambda a, v: a + F.exp(v - top))) - F.element_at(own, target + 1))
+
+    return let(x, loss)

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions import vocab
+from quarry.functions import text, vocab
 
-SCHEMA = "struct<tokens:array<string>,error:string>"
 #: Nested calls that a worker allows, which bounds how deep a file may nest.
 DEPTH = 60_000
 
@@ -24,13 +23,13 @@ def tokens_or_error(source: str | bytes | None) -> tuple[list[str] | None, str |
     if source is None:
         return None, "no content"
     try:
-        text = source if isinstance(source, str) else bytes(source).decode()
-        return tokens(text), None
+        code = source if isinstance(source, str) else bytes(source).decode()
+        return tokens(code), None
     except UnicodeDecodeError as e:
         return None, f"illegal UTF-8 encoding at byte {e.start}"
     except SyntaxFault as e:
-        line = text.count("\n", 0, e.at) + 1
-        return None, f"{line}:{e.at - text.rfind(chr(10), 0, e.at)}: {e.message}"[:200]
+        line = code.count("\n", 0, e.at) + 1
+        return None, f"{line}:{e.at - code.rfind(chr(10), 0, e.at)}: {e.message}"
     except RecursionError:
         return None, "unsupported: nested too deep"
 
@@ -74,8 +73,8 @@ def accepted(found: DataFrame) -> DataFrame:
 
 
 def quarantine(found: DataFrame) -> DataFrame:
-    """path and error of the files that were refused."""
-    return found.filter(F.col("error").isNotNull()).drop("tokens")
+    """path and error of the files that were refused; errors are told in 200 characters at most."""
+    return found.filter(F.col("error").isNotNull()).drop("tokens").withColumn("error", text.excerpt(F.col("error")))
 
 
 def require_some(found: DataFrame) -> None:
@@ -99,6 +98,20 @@ def token_lines(found: DataFrame, path: str) -> None:
     found.filter("tokens is not null").select(F.array_join("tokens", "\n").alias("value")).write.text(path)
 
 
+def streams_of_lines(outputs: DataFrame, output: str = "output", begin: str = "BOS") -> DataFrame:
+    """outputs with stream (from 0), ids and unknown (what the vocabulary lacks, in order), a row for
+    each stream of an output: lines are trimmed, blank ones dropped, and what precedes the first
+    beginning belongs to no stream. Within the row; an output is what one call of a tokenizer gave."""
+    tokens = text.lines(F.col(output))
+    begins = F.filter(F.transform(tokens, lambda t, i: F.when(t == begin, i + 1)), lambda i: i.isNotNull())
+    one = outputs.withColumn("__tokens", tokens).select("*", F.posexplode(begins).alias("stream", "__at"), F.size("__tokens").alias("__n"), begins.alias("__begins"))
+    stop = F.coalesce(F.get("__begins", F.col("stream") + 1), F.col("__n") + 1)
+    own = F.slice("__tokens", F.col("__at"), stop - F.col("__at"))
+    known = F.array(*map(F.lit, vocab.TOKENS))
+    out = one.withColumns({"ids": vocab.encode(own), "unknown": F.filter(own, lambda t: ~F.array_contains(known, t))})
+    return out.drop(output, "__tokens", "__at", "__n", "__begins")
+
+
 def streams(lines: DataFrame, order: str, token: str = "token", begin: str = "BOS") -> DataFrame:
     """lines with stream_no: how many beginnings there are up to each, in a known order; what
     precedes the first belongs to no stream and is left out."""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.shared import settings as session
 from quarry.functions.shared import written
 from quarry.operators import metrics, pack, tokenize
 from quarry.sources import files
@@ -26,21 +27,21 @@ def packed(sources: DataFrame, val_frac: float = 0.05, seed: int = 0, path: str
     found = tokenize.tokenized_ids(sources.select(F.col(path).alias("path"), F.col(content).alias("content")))
     found = written(found.withColumn("n", F.coalesce(F.size("ids"), F.lit(0)).cast("long")), "ids")
     own = pack.shuffled_offsets(tokenize.accepted(found), "path", "n", val_frac, seed)
-    return Prepared(own, found.filter("error is not null").select("path", "error"), pack.totals(own))
+    return Prepared(own, tokenize.quarantine(found).select("path", "error"), pack.totals(own))
 
 
 def run(spark: SparkSession, settings: Prepare) -> Prepared:
     """The whole plan: reads settings.src, and below settings.dst writes the packed table by split,
     the raw numbers of each split and the refused files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(settings.batch))
-    found = packed(tokenize.spread(files.go_files(spark, settings.src, settings.max_file_bytes)), settings.val_frac, settings.seed)
-    if found.totals.isEmpty():
-        raise RuntimeError(f"no file below {settings.src} could be tokenized")
-    found.packed.write.mode("overwrite").partitionBy("split").parquet(f"{settings.dst}/packed")
-    found.quarantine.write.mode("overwrite").parquet(f"{settings.dst}/quarantine")
-    stored = spark.read.parquet(f"{settings.dst}/packed")
-    for split in ("train", "val"):
-        pack.write_bin(stored.filter(F.col("split") == split), f"{settings.dst}/{split}.bin").write.mode("overwrite").parquet(f"{settings.dst}/{split}.parts")
+    with session(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(settings.batch)}):
+        found = packed(tokenize.spread(files.go_files(spark, settings.src, settings.max_file_bytes)), settings.val_frac, settings.seed)
+        if found.totals.isEmpty():
+            raise RuntimeError(f"no file below {settings.src} could be tokenized")
+        found.packed.write.mode("overwrite").partitionBy("split").parquet(f"{settings.dst}/packed")
+        found.quarantine.write.mode("overwrite").parquet(f"{settings.dst}/quarantine")
+        stored = spark.read.parquet(f"{settings.dst}/packed")
+        for split in ("train", "val"):
+            pack.write_bin(stored.filter(F.col("split") == split), f"{settings.dst}/{split}.bin").write.mode("overwrite").parquet(f"{settings.dst}/{split}.parts")
     return Prepared(stored, found.quarantine, pack.totals(stored))
 
 
