@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text, vocab
 from quarry.functions.shared import shared_path, written
 from quarry.operators import acquire, metrics, pack, tokenize
-from quarry.plans import prepare
+from quarry.plans import acquire as acquisition
+from quarry.plans import constructs, prepare
+from quarry.sources import config, files, github, replay
 from quarry.streaming import incremental
 
 BLOCK = 64
@@ -67,8 +69,18 @@ def go_tokens_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.col("error").isNull().alias("ok"), F.array_join("tokens", " ").alias("tokens"), F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"))
 
 
+def go_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every construct of the language in a file of its own, by the part's key; blank lines and
+    comments, as many as the part's size says, change nothing."""
+    sources = constructs.files()
+    made = spark.createDataFrame([(k, code) for k, (code, _) in enumerate(sources)], "construct int, code string")
+    part = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(sources)).cast("int").alias("construct"), F.repeat(F.lit("\n// a note {\n"), (F.col("p_size") % 3).cast("int")).alias("note"))
+    own = part.join(F.broadcast(made), "construct").select("p_partkey", "construct", F.concat("note", "code", "note").alias("content"))
+    return tokenize.tokenized(tokenize.spread(own)).select("p_partkey", "construct", F.array_join("tokens", " ").alias("tokens"))
+
+
 def go_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenize.encoded(tokenize.accepted(tokenize.tokenized(go_sources(spark, sf_dir))))
+    found = tokenize.accepted(tokenize.tokenized_ids(go_sources(spark, sf_dir)))
     return metrics.with_balance(found).select("p_partkey", F.array_join("ids", ",").alias("ids"), F.round("balance", 6).alias("balance"), "strict")
 
 
@@ -85,14 +97,36 @@ def go_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def go_vocab_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenize.accepted(tokenize.tokenized(go_sources(spark, sf_dir)))
-    return tokenize.unknown_tokens(found)
+    """Tokens of a tokenizer that has drifted: each file has one more, that the vocabulary lacks."""
+    found = tokenize.accepted(tokenize.tokenized(go_sources(spark, sf_dir).withColumn("new", F.concat(F.lit("OP_NEW_"), (F.col("p_partkey") % 3).cast("string")))))
+    return tokenize.unknown_tokens(found.withColumn("tokens", F.array_append("tokens", F.col("new"))))
 
 
 def go_bin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = written(prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")).packed.filter("split = 'train'"), "train")
-    parts = written(pack.write_bin(packed, shared_path(spark, "train-bin")), "parts")
-    return pack.read_bin(parts, 1024).select("block", F.array_join("ids", ",").alias("ids"))
+    """Both splits written as raw numbers and read again."""
+    packed = written(prepare.packed(go_sources(spark, sf_dir).drop("p_partkey")).packed, "packed")
+    out = None
+    for split in ("train", "val"):
+        parts = written(pack.write_bin(packed.filter(F.col("split") == split), shared_path(spark, f"{split}-bin")), "parts")
+        own = pack.read_bin(parts, 64).select(F.lit(split).alias("split"), "block", F.array_join("ids", ",").alias("ids"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def token_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the files that token lines are written to: each token, and how often it stands there."""
+    path = shared_path(spark, "token-lines")
+    tokenize.token_lines(tokenize.accepted(tokenize.tokenized(go_sources(spark, sf_dir))), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("token")).agg(F.count("*").alias("n"))
+
+
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a tokenizer, with blanks, blank lines, what precedes the first stream and unknown
+    tokens, as streams of ids."""
+    part, n = _table(spark, sf_dir, "part"), (F.col("p_size") % 4).cast("int")
+    output = F.concat(F.lit("EOF\n\n OP_SUB\r\n"), F.repeat(F.lit("BOS\n  OP_ADD \n\n\tNAME_3\nEOF\n"), n), F.lit("BOS\nX_"), F.col("p_size").cast("string"), F.lit("\nFIELD_63\n"))
+    found = tokenize.streams_of_lines(part.select("p_partkey", output.alias("output")))
+    return found.select("p_partkey", "stream", F.array_join("ids", ",").alias("ids"), F.array_join("unknown", ",").alias("unknown"))
 
 
 # --- vocabulary ---
@@ -157,19 +191,134 @@ def repo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contents_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts, languages and pages as folders, folders and files; listed level by level from the hosts."""
-    pages = _table(spark, sf_dir, "pages").withColumn("host", _host(F.col("url"))).withColumn("lang", F.split("url", "/")[3])
-    folder, file = F.concat_ws("/", "host", "lang"), F.concat(F.col("page_id").cast("string"), F.lit(".go"))
-    none = F.lit(None)
-    listing = pages.select("host", F.lit("dir").alias("type"), F.col("lang").alias("name"), none.cast("string").alias("path"), folder.alias("url"), F.col("host").alias("parent")).distinct() \
-        .unionByName(pages.select("host", F.lit("file").alias("type"), file.alias("name"), F.concat_ws("/", "lang", file).alias("path"), F.col("url"), folder.alias("parent")))
+    """A host's pages as files, each in its language's folder and as many folders below it as its
+    number says; listed level by level from the hosts. Some files have no path, which their name
+    stands in for; the folders of one language are listed by one object, not a list."""
+    n, lang = (F.col("page_id") % 6).cast("int"), F.split("url", "/")[3]
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", _host(F.col("url")).alias("host"), lang.alias("lang"), n.alias("n"))
+    folders = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.concat_ws("/", "host", "lang", F.when(k > 0, F.array_join(F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("d"), i.cast("string"))), "/"))))
+    placed = pages.withColumn("folders", folders)
+    edges = placed.select(F.posexplode("folders").alias("k", "folder"), "folders", "host").select(F.when(F.col("k") == 0, F.col("host")).otherwise(F.get("folders", F.col("k") - 1)).alias("parent"), "folder").distinct()
+    none, name = F.lit(None).cast("string"), F.concat(F.col("page_id").cast("string"), F.lit(".go"))
+    entry = lambda type_, name, path, url, size, address: F.to_json(F.struct(F.lit(type_).alias("type"), name.alias("name"), path.alias("path"), url.alias("url"), size.alias("size"), address.alias("download_url")))
+    folder = edges.select("parent", entry("dir", F.substring_index("folder", "/", -1), none, F.col("folder"), F.lit(None).cast("long"), none).alias("entry"))
+    file = placed.select(F.element_at("folders", -1).alias("parent"), entry("file", name, F.when(F.col("page_id") % 7 > 0, F.concat_ws("/", "lang", name)), F.col("url"), F.col("page_id"), F.col("url")).alias("entry"))
+    bodies = folder.unionByName(file).groupBy("parent").agg(F.collect_list("entry").alias("own"))
+    body = F.when(F.size("own") == 1, F.get("own", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("own", ","), F.lit(', "no object"]')))
+    listing = written(bodies.select(F.col("parent").alias("url"), body.alias("body"), F.lit(None).cast("string").alias("error")), "listings")
     roots = pages.select(F.col("host").alias("slug"), F.col("host").alias("url")).distinct()
+    found = acquire.expand(roots, lambda level: acquire.listed(level.join(listing, "url"), "slug"))
+    return acquire.wanted_files(found, "out").select("slug", "depth", "save_path", "download_url")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Recorded replies of a service whose repositories are the suppliers, a search page a nation, and
+    its address. Each repository has two files of Go in two folders, one too large and one of another
+    kind; some listings, folders and files can't be had, and every fifth page is refused once."""
+    host, key, none = "https://host", F.col("s_suppkey").cast("string"), F.create_map().cast("map<string,string>")
+    own = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
+    items = own.groupBy("nation").agg(F.to_json(F.struct(F.collect_list(F.struct(F.concat(F.lit("o/"), "s_name").alias("full_name"), F.concat(F.lit(f"{host}/c/"), key, F.lit("{+path}")).alias("contents_url"))).alias("items"))).alias("body"))
+    every = spark.range(25).select(F.col("id").cast("int").alias("nation")).join(items, "nation", "left")
+    page = F.concat(F.lit(f"{host}/search/repositories?q=language%3AGo&per_page=30&page="), (F.col("nation") + 1).cast("string"))
+    link = F.create_map(F.lit("Link"), F.when(F.col("nation") < 24, '<x>; rel="next", <y>; rel="last"').otherwise('<x>; rel="first"'))
+    refusal = F.create_map(F.lit("X-RateLimit-Remaining"), F.lit("0"), F.lit("X-RateLimit-Reset"), F.lit("100"))
+    refused = F.col("nation") % 5 == 0
+    row = lambda url, number, status, headers, body: [url.alias("url"), number.alias("number"), F.lit(status).alias("status"), headers.alias("headers"), body.alias("body")]
+    parts = [
+        every.filter(refused).select(*row(page, F.lit(0), 403, refusal, F.lit("slower"))),
+        every.select(*row(page, refused.cast("int"), 200, link, F.coalesce("body", F.lit("{}")))),
+        own.filter("s_suppkey % 7 <> 3").select(*row(F.concat(F.lit(f"{host}/c/"), key), F.lit(0), 200, none, F.concat(
+            F.lit('[{"type":"dir","name":"sub","path":"sub","url":"https://host/d/'), key, F.lit('"},{"type":"file","name":"a.go","path":"a.go","size":9,"download_url":"https://host/r/a'), key,
+            F.lit('"},{"type":"file","name":"big.go","path":"big.go","size":512001,"download_url":"u"},{"type":"file","name":"n.txt","path":"n.txt","download_url":"u"}]')))),
+        own.select(*row(F.concat(F.lit(f"{host}/d/"), key), F.lit(0), 200, none, F.when(F.col("s_suppkey") % 11 == 4, "<html>").otherwise(F.concat(F.lit('{"type":"file","name":"z.go","path":"sub/z.go","download_url":"https://host/r/z'), key, F.lit('"}'))))),
+        own.filter("s_suppkey % 10 <> 5").select(*row(F.concat(F.lit(f"{host}/r/a"), key), F.lit(0), 200, none, F.concat(F.lit("package a"), key))),
+        own.select(*row(F.concat(F.lit(f"{host}/r/z"), key), F.lit(0), 200, none, F.concat(F.lit("package z"), key))),
+        own.agg(F.count("*").alias("n")).select(*row(F.lit(f"{host}/rate_limit"), F.lit(0), 200, none, F.concat(F.lit('{"resources":{"core":{"remaining":'), F.col("n").cast("string"), F.lit(',"limit":5000},"search":{"remaining":9}}}')))),
+    ]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    folder = shared_path(spark, "replies")
+    return written(replay.record(rows.withColumn("body", F.col("body").cast("binary")), folder), "recorded"), folder
+
+
+def search_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty pages of a search at most, partitions of five pages side by side, from recorded replies."""
+    _, folder = _replies(spark, sf_dir)
+    pages = github.search(spark, "language:Go", base="https://host", maxPages=20, replies=folder)
+    return acquire.repositories(pages).select("page", "full_name", "slug", "contents_url")
+
+
+def acquire_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole acquisition from recorded replies: the files stored, what was lost, and the
+    repositories that are marked as seen. The first of them were seen before."""
+    _, folder = _replies(spark, sf_dir)
+    out = shared_path(spark, "acquired")
+    before = _table(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.concat(F.lit("o/"), "s_name").alias("full_name"))
+    files.mark_seen(before, f"{out}/.seen-repos")
+    lost = acquisition.run(spark, config.Acquire("language:Go", out, 25, concurrency=4), base="https://host", replies=folder)
+    stored = spark.read.schema("path string, content binary, slug string").parquet(f"{out}/files")
+    what = [
+        stored.select(F.lit("stored").alias("kind"), F.concat_ws("/", "slug", "path").alias("name"), F.col("content").cast("string").alias("value")),
+        lost.select(F.lit("lost").alias("kind"), F.col("url").alias("name"), F.substring("error", 1, 10).alias("value")),
+        files.seen(spark, f"{out}/.seen-repos").select(F.lit("seen").alias("kind"), F.col("full_name").alias("name"), F.lit("").alias("value")),
+    ]
+    return what[0].unionByName(what[1]).unionByName(what[2])
+
+
+def rate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, folder = _replies(spark, sf_dir)
+    found = github.rate_status(base="https://host", opened=github.opener(folder))
+    return spark.createDataFrame([(k, *v) for k, v in found.items()], "quota string, remaining long, allowed long")
+
+
+def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t or "", *kv) for t in (None, "abc") for kv in github.headers(t).items()], "token string, name string, value string")
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings read from arguments, over their defaults."""
+    got = [("prepare", config.parsed(config.Prepare, ["--src", "a b", "--val-frac=0.5", "--seed", "1", "--seed", "7"])), ("sampling", config.parsed(config.Sampling, ["--verbose", "Yes", "--block_size", "8"]))]
+    return spark.createDataFrame([(kind, k, str(v)) for kind, own in got for k, v in vars(own).items()], "kind string, name string, value string")
 
-    def lister(level: DataFrame) -> DataFrame:
-        return level.select("slug", F.col("url").alias("parent")).join(listing, "parent").select("slug", "type", "name", "path", "url", F.lit(1).cast("long").alias("size"), F.col("url").alias("download_url"))
 
-    found = acquire.wanted_files(acquire.expand(roots, lister), "out")
-    return found.select("slug", "depth", "save_path", "download_url")
+def _stored_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Suppliers as files of their own below a folder, a subfolder a nation: path (below the folder)
+    and bytes, written when read."""
+    own, k = _table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 4
+    path = F.concat(F.col("s_suppkey").cast("string"), F.when(k == 0, ".go").when(k == 1, ".x.go").when(k == 2, ".GO").otherwise(".txt"))
+    folder = shared_path(spark, "sources")
+    rows = own.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("slug"), path.alias("path"), F.repeat("s_name", (F.col("s_suppkey") % 9).cast("int")).alias("content"))
+    return written(files.export_files(rows, folder), "exported"), folder
+
+
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files stored one by one and scanned again: names that end in .go, up to a size, in order."""
+    _, folder = _stored_files(spark, sf_dir)
+    found = files.go_files(spark, folder, 100).select(F.substring_index("path", "/", -2).alias("path"), "length", F.md5("content").alias("md5"))
+    return pack.running_total(found.withColumn("one", F.lit(1).cast("long")), "path", "one", "place").drop("one")
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read by name, from a list with blanks and blank lines; every fifth isn't there."""
+    stored, folder = _stored_files(spark, sf_dir)
+    names = stored.select(F.concat(F.lit("  "), "path", F.when(F.col("bytes") % 5 == 0, ".none").otherwise(""), F.lit(" \n\n \t")).alias("value"))
+    path = shared_path(spark, "list")
+    names.write.text(path)
+    read = files.read_paths(files.listed_paths(spark, path))
+    return read.select(F.substring_index("path", "/", -2).alias("path"), F.md5("content").alias("md5"), F.col("error").isNull().alias("ok"))
+
+
+def seen_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list that names are appended to twice, some with blanks, some empty, some again."""
+    own, path = _table(spark, sf_dir, "supplier"), shared_path(spark, "seen")
+    files.mark_seen(own.select(F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "s_name")).alias("full_name")), path)
+    files.mark_seen(own.filter("s_suppkey % 2 = 0").select(F.concat("s_name", F.lit("  ")).alias("full_name")), path)
+    return files.seen(spark, path)
+
+
+def error_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
 
 def import_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +340,16 @@ def pack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", (F.col("end") - F.col("n_chars")).alias("start"), "end")
 
 
+def file_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of 32, in shuffled order."""
+    return pack.batched(_table(spark, sf_dir, "documents").select("doc_id"), 32, "doc_id")
+
+
 def _word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos, id: the lengths of the words of all conversations, in order of conversation and turn."""
+    """start, ids: the lengths of the words of all conversations, in order of conversation and turn."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.length(w)).alias("ids"))
     turns = turns.withColumn("n", F.size("ids").cast("long"))
-    return pack.running_total(turns, "conv_id", "n", "end", "turn").select(F.lit("all").alias("split"), (F.col("end") - F.col("n")).alias("start"), "ids").transform(pack.positions)
+    return pack.running_total(turns, "conv_id", "n", "end", "turn").select((F.col("end") - F.col("n")).alias("start"), "ids")
 
 
 _WORDS_SQL = """
@@ -205,12 +359,12 @@ w AS (
 
 
 def block_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack.training_blocks(_word_lengths(spark, sf_dir).drop("split"), BLOCK)
+    out = pack.training_blocks(_word_lengths(spark, sf_dir), BLOCK)
     return out.select("block", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
 def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = written(pack.blocks(_word_lengths(spark, sf_dir).drop("split"), BLOCK), "blocks")
+    own = written(pack.blocks(_word_lengths(spark, sf_dir), BLOCK), "blocks")
     return pack.sampled_windows(own, BLOCK).select("number", "start", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
@@ -237,15 +391,15 @@ def html_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _tags(spark, sf_dir).select("page_id", F.posexplode("tags").alias("pos", "tag"))
-    change = F.when(F.col("tag").startswith("/"), -1).otherwise(1)
-    return metrics.depths(each, "page_id", "pos", change).groupBy("page_id").agg(F.max("depth").alias("max_depth"), F.count("*").alias("n_tags"), F.sum(change).alias("end_depth"))
+    found = _tags(spark, sf_dir).filter(F.size("tags") > 0)
+    own = found.withColumn("nesting", metrics.nesting(F.col("tags"), lambda t: F.when(t.startswith("/"), -1).otherwise(1)))
+    return own.select("page_id", F.col("nesting.most").alias("max_depth"), F.size("tags").cast("long").alias("n_tags"), F.col("nesting.last").alias("end_depth"))
 
 
 def first_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first list of each page: its tags, and its items."""
-    each = _tags(spark, sf_dir).select("page_id", F.posexplode("tags").alias("pos", "tag"))
-    return metrics.first_subtree(each, "page_id", "pos", "tag", "ul", "/ul").groupBy("page_id").agg(F.count("*").alias("n_tags"), F.count_if(F.col("tag") == "li").alias("n_items"))
+    own = _tags(spark, sf_dir).withColumn("own", metrics.first_subtree(F.col("tags"), "ul", "/ul")).filter(F.size("own") > 0)
+    return own.select("page_id", F.size("own").cast("long").alias("n_tags"), F.size(F.filter("own", lambda t: t == "li")).cast("long").alias("n_items"))
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,8 +421,21 @@ def eval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "x")).withColumn("logit", F.floor(F.col("x").cast("double") * 100))
-    return metrics.top_k(each, "vec_id", "logit", 40).select("vec_id", "idx", "logit", "rank")
+    logits = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.explode(metrics.top_k(logits, 40)).alias("e")).select("vec_id", "e.*")
+
+
+def next_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of generation from each vector as logits: temperature, the ten largest, one drawn."""
+    u = text.hashed(9, F.col("vec_id")) / F.lit(2.0**32)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", metrics.next_token(F.col("embedding"), u, 0.05, 10).alias("token"))
+
+
+def sample_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a sequence of ids, of eight kinds of brackets and of names; its balance."""
+    ids = F.transform("embedding", lambda x: F.when(F.floor(F.abs(x) * 1000) % 5 == 0, 201).otherwise(101 + F.floor(F.abs(x) * 1000) % 8).cast("int"))
+    own = _table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))
+    return metrics.with_balance(own).select("vec_id", F.round("balance", 6).alias("balance"), "strict")
 
 
 def softmax_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,15 +469,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    go_tokens_template, go_token_ids, go_token_totals, go_pack_offsets, go_quarantine, go_vocab_drift, go_bin_round_trip,
+    go_tokens_template, go_constructs, go_token_ids, go_token_totals, go_pack_offsets, go_quarantine, go_vocab_drift, go_bin_round_trip, token_line_files, token_lines,
     vocab_ids, vocab_pairs, vocab_duplicates, vocab_coverage,
     size_ext_filter, seen_anti, slug_link, search_url, repo_pages, contents_recursive, import_names,
-    split_hash, split_totals, pack_offsets, block_cut, window_sample, stream_partition,
-    html_balance, html_depth, first_list, lr_schedule, interval_mean, interval_latency, eval_mean, topk_ties, softmax_draw, xent_mean,
+    search_replay, acquire_replay, rate_status, request_headers, settings, scan_files, listed_files, seen_list, error_excerpt,
+    split_hash, split_totals, pack_offsets, file_batches, block_cut, window_sample, stream_partition,
+    html_balance, sample_balance, html_depth, first_list, lr_schedule, interval_mean, interval_latency, eval_mean, topk_ties, softmax_draw, next_token, xent_mean,
     stream_new_hosts,
 )
 
 _TOKENS_SQL = "SELECT unnest([" + ", ".join(f"'{t}'" for t in vocab.TOKENS) + f"]) AS token, unnest(range({len(vocab.TOKENS)})) AS i"
+_CONSTRUCTS = ", ".join(f"({k}, '{tokens}')" for k, (_, tokens) in enumerate(constructs.files()))
 _HOST = "regexp_extract(url, '//([^/]*)', 1)"
 
 ORACLE = {
@@ -319,8 +488,11 @@ ORACLE = {
     "go_token_totals": f"WITH {GO_EXPECTED} SELECT split, count(*) AS files, CAST(sum(n) AS BIGINT) AS tokens FROM files GROUP BY split",
     "go_pack_offsets": f"WITH {GO_EXPECTED} SELECT path, split, CAST(sum(n) OVER (PARTITION BY split ORDER BY k, path) - n AS BIGINT) AS start, CAST(n AS BIGINT) AS n FROM files",
     "go_quarantine": f"WITH {GO_EXPECTED} SELECT path, true AS at_line_2 FROM go WHERE tokens IS NULL",
-    "go_vocab_drift": "SELECT CAST('' AS VARCHAR) AS token, CAST(0 AS BIGINT) AS n WHERE false",
-    "go_bin_round_trip": f"WITH {GO_EXPECTED}, v AS ({_TOKENS_SQL}), e AS (SELECT k, path, unnest(string_split(tokens, ' ')) AS token, generate_subscripts(string_split(tokens, ' '), 1) AS j FROM files WHERE split = 'train'), s AS (SELECT row_number() OVER (ORDER BY k, path, j) - 1 AS pos, token FROM e) SELECT CAST(pos // 1024 AS BIGINT) AS block, string_agg(CAST(i AS VARCHAR), ',' ORDER BY pos) AS ids FROM s JOIN v USING (token) GROUP BY 1",
+    "go_vocab_drift": f"WITH {GO_EXPECTED} SELECT 'OP_NEW_' || (p_partkey % 3) AS token, count(*) AS n FROM files GROUP BY 1",
+    "go_constructs": f"WITH c(construct, tokens) AS (VALUES {_CONSTRUCTS}) SELECT p_partkey, CAST(construct AS INTEGER) AS construct, tokens FROM part JOIN c ON p_partkey % {len(constructs.files())} = construct",
+    "token_line_files": f"WITH {GO_EXPECTED} SELECT token, count(*) AS n FROM (SELECT unnest(string_split(tokens, ' ')) AS token FROM files) GROUP BY token",
+    "token_lines": "SELECT p_partkey, CAST(stream AS INTEGER) AS stream, CASE WHEN stream < p_size % 4 THEN '0,23,204,1' ELSE '0,328' END AS ids, CASE WHEN stream < p_size % 4 THEN '' ELSE 'X_' || p_size END AS unknown FROM (SELECT p_partkey, p_size, unnest(range(p_size % 4 + 1)) AS stream FROM part)",
+    "go_bin_round_trip": f"WITH {GO_EXPECTED}, v AS ({_TOKENS_SQL}), e AS (SELECT split, k, path, unnest(string_split(tokens, ' ')) AS token, generate_subscripts(string_split(tokens, ' '), 1) AS j FROM files), s AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY k, path, j) - 1 AS pos, token FROM e) SELECT split, CAST(pos // 64 AS BIGINT) AS block, string_agg(CAST(i AS VARCHAR), ',' ORDER BY pos) AS ids FROM s JOIN v USING (token) GROUP BY 1, 2",
     "vocab_ids": f"SELECT CAST(i AS INTEGER) AS id, token FROM ({_TOKENS_SQL})",
     "vocab_pairs": "SELECT CAST(101 + 2 * k AS INTEGER) AS open_id, CAST(102 + 2 * k AS INTEGER) AS close_id FROM (SELECT unnest(range(50)) AS k)",
     "vocab_duplicates": "SELECT p_name AS token, count(*) AS count FROM part GROUP BY p_name HAVING count(*) > 1",
@@ -330,7 +502,35 @@ ORACLE = {
     "slug_link": f"SELECT page_id, replace({_HOST}, '/', '__') AS slug_host, replace(regexp_extract(url, '//(.*)', 1), '/', '__') AS slug, url || '/contents/' AS root, CASE WHEN page_id % 5 < 2 THEN url END AS next FROM pages",
     "search_url": "SELECT p_partkey, 'https://host/search/repositories?q=language%3AGo+' || replace(p_name, ' ', '+') || '&per_page=30&page=' || p_size AS url FROM part",
     "repo_pages": "SELECT c_nationkey AS page, 'o/' || c_name AS full_name, 'o__' || c_name AS slug, 'h/' || c_name || '/contents/' AS contents_url FROM customer WHERE c_custkey % 10 <> 0",
-    "contents_recursive": f"SELECT {_HOST} AS slug, 1 AS depth, 'out/' || {_HOST} || '/' || string_split(url, '/')[4] || '/' || page_id || '.go' AS save_path, url AS download_url FROM pages",
+    "contents_recursive": f"""SELECT {_HOST} AS slug, CAST(page_id % 6 + 1 AS INTEGER) AS depth, 'out/' || {_HOST} || '/' || CASE WHEN page_id % 7 > 0 THEN string_split(url, '/')[4] || '/' ELSE '' END || page_id || '.go' AS save_path, url AS download_url FROM pages""",
+    "search_replay": "SELECT s_nationkey + 1 AS page, 'o/' || s_name AS full_name, 'o__' || s_name AS slug, 'https://host/c/' || s_suppkey AS contents_url FROM supplier WHERE s_nationkey < 20",
+    "acquire_replay": """WITH new AS (SELECT *, 'o__' || s_name AS slug FROM supplier WHERE s_suppkey > 3), listed AS (SELECT * FROM new WHERE s_suppkey % 7 <> 3)
+        SELECT 'stored' AS kind, slug || '/a.go' AS name, 'package a' || s_suppkey AS value FROM listed WHERE s_suppkey % 10 <> 5
+        UNION ALL SELECT 'stored', slug || '/sub/z.go', 'package z' || s_suppkey FROM listed WHERE s_suppkey % 11 <> 4
+        UNION ALL SELECT 'lost', 'https://host/c/' || s_suppkey, 'status 404' FROM new WHERE s_suppkey % 7 = 3
+        UNION ALL SELECT 'lost', 'https://host/d/' || s_suppkey, 'the listin' FROM listed WHERE s_suppkey % 11 = 4
+        UNION ALL SELECT 'lost', 'https://host/r/a' || s_suppkey, 'status 404' FROM listed WHERE s_suppkey % 10 = 5
+        UNION ALL SELECT 'seen', 'o/' || s_name, '' FROM supplier WHERE s_suppkey <= 3 OR s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 4""",
+    "rate_status": "SELECT 'core' AS quota, count(*) AS remaining, CAST(5000 AS BIGINT) AS allowed FROM supplier UNION ALL SELECT 'search', 9, NULL",
+    "request_headers": "SELECT token, unnest(['Accept', 'User-Agent', 'X-GitHub-Api-Version']) AS name, unnest(['application/vnd.github+json', 'quarry', '2022-11-28']) AS value FROM (SELECT unnest(['', 'abc']) AS token) UNION ALL SELECT 'abc', 'Authorization', 'Bearer abc'",
+    "settings": """SELECT * FROM (VALUES ('prepare', 'src', 'a b'), ('prepare', 'dst', 'data'), ('prepare', 'val_frac', '0.5'), ('prepare', 'seed', '7'), ('prepare', 'batch', '32'), ('prepare', 'max_file_bytes', '512000'),
+        ('sampling', 'block_size', '8'), ('sampling', 'epoch_windows', '0'), ('sampling', 'max_steps', '20000'), ('sampling', 'warmup_steps', '200'), ('sampling', 'lr', '0.0003'), ('sampling', 'min_lr', '3e-05'), ('sampling', 'eval_iters', '20'),
+        ('sampling', 'log_interval', '10'), ('sampling', 'top_k', '40'), ('sampling', 'seed', '0'), ('sampling', 'verbose', 'True')) AS t(kind, name, value)""",
+    "scan_files": """WITH f AS (SELECT 'n' || s_nationkey || '/' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.go' ELSE '.x.go' END AS path, repeat(s_name, CAST(s_suppkey % 9 AS INTEGER)) AS c FROM supplier WHERE s_suppkey % 4 < 2)
+        SELECT path, CAST(length(c) AS BIGINT) AS length, md5(c) AS md5, row_number() OVER (ORDER BY path) AS place FROM f WHERE length(c) BETWEEN 1 AND 100""",
+    "listed_files": """WITH f AS (SELECT 'n' || s_nationkey || '/' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.x.go' WHEN 2 THEN '.GO' ELSE '.txt' END AS path, repeat(s_name, CAST(s_suppkey % 9 AS INTEGER)) AS c FROM supplier)
+        SELECT path || CASE WHEN length(c) % 5 = 0 THEN '.none' ELSE '' END AS path, CASE WHEN length(c) % 5 > 0 THEN md5(c) END AS md5, length(c) % 5 > 0 AS ok FROM f""",
+    "seen_list": "SELECT s_name AS full_name FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0",
+    "error_excerpt": "SELECT doc_id, substr(text, 1, 200) AS excerpt FROM documents",
+    "file_batches": "SELECT doc_id, CAST((row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1) // 32 AS BIGINT) AS batch FROM documents",
+    "next_token": "WITH e AS (SELECT vec_id, ('0x' || substr(md5('9:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), k AS (SELECT vec_id, u, i, x / 0.05 AS x FROM e QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY x DESC) <= 10), p AS (SELECT vec_id, u, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS p FROM k), c AS (SELECT vec_id, u, i, sum(p) OVER (PARTITION BY vec_id ORDER BY i) / sum(p) OVER (PARTITION BY vec_id) AS c FROM p) SELECT vec_id, CAST(coalesce(min(i) FILTER (c > u), max(i)) AS INTEGER) AS token FROM c GROUP BY vec_id",
+    "sample_balance": """WITH RECURSIVE e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(floor(abs(unnest(embedding)) * 1000) AS BIGINT) AS v FROM embeddings), t AS (SELECT vec_id, pos, CASE WHEN v % 5 = 0 THEN -1 ELSE v % 8 END AS kind FROM e), f AS (
+        SELECT DISTINCT vec_id, 0::BIGINT AS pos, []::BIGINT[] AS stack, 0 AS ok, 0 AS total, false AS bad FROM t
+        UNION ALL
+        SELECT f.vec_id, f.pos + 1, CASE WHEN kind < 0 THEN stack WHEN kind % 2 = 1 THEN stack[:len(stack) - 1] ELSE list_append(stack, kind + 1) END,
+               ok + CASE WHEN kind % 2 = 1 AND stack[-1] = kind THEN 1 ELSE 0 END, total + CASE WHEN kind >= 0 AND kind % 2 = 0 THEN 1 ELSE 0 END, bad OR (kind >= 0 AND kind % 2 = 1 AND (len(stack) = 0 OR stack[-1] <> kind))
+        FROM f JOIN t ON f.vec_id = t.vec_id AND f.pos = t.pos)
+        SELECT vec_id, round(CASE WHEN total = 0 THEN 1.0 ELSE ok / total END, 6)::DOUBLE AS balance, NOT bad AND len(stack) = 0 AS strict FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY pos DESC) = 1""",
     "import_names": "SELECT p_partkey, string_split(p_name, ' ')[-1] AS name FROM part",
     "split_hash": "SELECT doc_id, CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT < 214748364 THEN 'val' ELSE 'train' END AS split, md5('0:' || doc_id) AS order_key FROM documents",
     "split_totals": "SELECT CASE WHEN ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT < 214748364 THEN 'val' ELSE 'train' END AS split, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents WHERE n_chars > 0 GROUP BY 1",

@@ -1,3 +1,4 @@
+import io
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -8,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text, vocab
+from quarry.functions.shared import settings
 from quarry.operators import acquire as acquiring
 from quarry.operators import metrics, pack, tokenize
 from quarry.plans import acquire, prepare
-from quarry.sources import config, files, github
+from quarry.plans import tokenize as tokenizing
+from quarry.sources import config, files, github, replay
 from quarry.streaming import incremental
 
 GOOD = "package p\nfunc F(a []int) int {\n\tif len(a) == 0 { return 0 }\n\treturn a[0]\n}\n"
@@ -122,12 +125,13 @@ def test_seen(spark, tmp_path):
 
 
 def test_rate_limit():
-    waits, replies = [], [(403, {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "130"}, ""), (200, {"Link": "l"}, "{}")]
-    body, got = github.request("u", {}, lambda *_: replies.pop(0), lambda: 100, waits.append)
-    assert body == "{}" and got["Link"] == "l" and 31 <= waits[0] <= 35
-    for status, headers in ((403, {}), (429, {"X-RateLimit-Remaining": "0"}), (500, {})):
-        with pytest.raises(RuntimeError, match=str(status)):
-            github.request("u", {}, lambda *_, s=status, h=headers: (s, h, "x" * 999))
+    waits, replies = [], [github.Reply(403, b"", {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "130"}), github.Reply(200, b"{}", {"Link": "l"})]
+    got = github.request("u", {}, lambda *_: replies.pop(0), lambda: 100, waits.append)
+    assert got.body == b"{}" and got.headers["link"] == "l" and 31 <= waits[0] <= 35
+    assert github.pause(github.Reply(429, b"", {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "90"}), 100, lambda a, b: b) == 5
+    for status, headers in ((403, {}), (429, {"X-RateLimit-Remaining": "0"}), (403, {"X-RateLimit-Remaining": "1", "X-RateLimit-Reset": "1"}), (500, {})):
+        with pytest.raises(github.Refused, match=f"status {status}: x{{200}}$"):
+            github.request("u", {}, lambda *_, s=status, h=headers: github.Reply(s, b"x" * 999, h))
     assert github.headers("t")["Authorization"] == "Bearer t" and "Authorization" not in github.headers()
 
 
@@ -142,6 +146,15 @@ def api():
                 page = int(parse_qs(at.query)["page"][0])
                 names = {1: [f"o/r{k}" for k in range(30)], 2: ["o/r3", "o/last", ""]}.get(page, [])
                 out = {"items": [{"full_name": n, "contents_url": f"{own}/c/{n}/{{+path}}"} for n in names]}
+            elif at.path == "/rate_limit":
+                out = {"resources": {"core": {"remaining": 9, "limit": 60}}}
+            elif at.path.startswith("/c/o/r2/"):
+                self.send_error(500)
+                return
+            elif at.path.startswith("/c/o/r4/"):
+                out = [{"type": "file", "name": "latin.go", "path": "latin.go", "size": 9, "download_url": f"{own}/raw/latin"}]
+            elif at.path.startswith("/c/o/r5/"):
+                out = "<html>"
             elif at.path.startswith("/c/o/r1/"):
                 out = [{"type": "dir", "url": f"{own}/sub"}, {"type": "file", "name": "a.go", "path": "a.go", "size": 9, "download_url": f"{own}/raw/a"}, {"type": "file", "name": "b.txt", "path": "b.txt", "download_url": f"{own}/raw/b"}]
             elif at.path == "/sub":
@@ -154,8 +167,10 @@ def api():
                 self.send_error(404)
                 return
             self.send_response(200)
+            if at.query.endswith("page=1"):
+                self.send_header("Link", f'<{own}/search/repositories?page=2>; rel="next"')
             self.end_headers()
-            self.wfile.write((out if isinstance(out, str) else json.dumps(out)).encode())
+            self.wfile.write("package l // caf\xe9".encode("latin-1") if at.path.endswith("latin") else (out if isinstance(out, str) else json.dumps(out)).encode())
 
         def log_message(self, *_):
             pass
@@ -166,25 +181,65 @@ def api():
     server.shutdown()
 
 
-def test_acquire(spark, api, tmp_path):
+def test_acquire(spark, api, tmp_path, caplog):
     own = config.Acquire(output_dir=str(tmp_path / "out"), max_pages=4, concurrency=4)
-    lost = acquire.run(spark, own, base=api).collect()
-    assert [r.path for r in lost] == ["gone.go"] and "404" in lost[0].error
+    with caplog.at_level("INFO"):
+        lost = acquire.run(spark, own, base=api).collect()
+    assert "'core': (9, 60)" in caplog.text
+    why = {(r.slug, r.path): r.error for r in lost}
+    assert set(why) == {("o__r1", "gone.go"), ("o__r2", None), ("o__r5", None)}
+    assert "404" in why["o__r1", "gone.go"] and "500" in why["o__r2", None] and "JSON" in why["o__r5", None]
     stored = spark.read.parquet(f"{own.output_dir}/files")
-    assert {(r.slug, r.path): r.content for r in stored.collect()} == {("o__r1", "a.go"): "package a", ("o__r1", "s/z.go"): "package z"}
+    content = {(r.slug, r.path): bytes(r.content) for r in stored.collect()}
+    assert content == {("o__r1", "a.go"): b"package a", ("o__r1", "s/z.go"): b"package z", ("o__r4", "latin.go"): b"package l // caf\xe9"}
     known = {r.full_name for r in files.seen(spark, f"{own.output_dir}/.seen-repos").collect()}
-    assert known == {f"o/r{k}" for k in range(30)} | {"o/last"}
-    assert acquire.run(spark, own, base=api).collect() == []
+    assert known == {f"o/r{k}" for k in range(30)} - {"o/r2", "o/r5"} | {"o/last"}
+    assert {r.slug for r in acquire.run(spark, own, base=api).collect()} == {"o__r2", "o__r5"}  # tried again
+    assert spark.read.parquet(f"{own.output_dir}/files").count() == 3
     out = files.export_files(stored, str(tmp_path / "tree")).collect()
-    assert len(out) == 2 and (tmp_path / "tree/o__r1/s/z.go").read_text() == "package z"
+    assert len(out) == 3 and (tmp_path / "tree/o__r1/s/z.go").read_text() == "package z"
+    refused = {r.path: r.error for r in tokenize.tokenized(stored.select("path", "content")).collect()}
+    assert "UTF-8" in refused["latin.go"] and refused["a.go"] is None
+
+
+def test_faults_stop_no_other(spark, api):
+    got = {r.url: r for r in github.fetch(spark.createDataFrame([(f"{api}/raw/a",), ("no address",), ("http://127.0.0.1:9/x",), (f"{api}/none",)], "url string"), concurrency=2).collect()}
+    assert bytes(got[f"{api}/raw/a"].body) == b"package a" and got[f"{api}/none"].gone
+    assert got["no address"].error.startswith("ValueError") and got["http://127.0.0.1:9/x"].error and not got["no address"].gone
+
+
+def test_replay(spark, tmp_path):
+    rows = [("u", 0, 403, {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "1"}, b""), ("u", 1, 200, {"Link": "l"}, b"one"), ("v", 0, 500, None, b"no")]
+    replay.record(spark.createDataFrame(rows, "url string, number int, status int, headers map<string,string>, body binary"), str(tmp_path)).collect()
+    opened = replay.Recorded(str(tmp_path))
+    assert github.request("u", {}, opened).body == github.request("u", {}, opened).body == b"one"
+    assert opened("v", {}).status == 500 and opened("w", {}).status == 404
+
 
+def test_command(spark, tree, tmp_path):
+    def run(*args, stdin=()):
+        out, err = io.StringIO(), io.StringIO()
+        return tokenizing.run(spark, list(args), stdin, out, err), out.getvalue().split(), err.getvalue()
 
-def test_config():
+    code, out, err = run(f"{tree}/r/sub/b.go", f"{tree}/r/bad.go", f"{tree}/none.go", f"{tree}/r/long.go")
+    assert code == 0 and out == "BOS OPEN_VAR_DECL OPEN_VALUE_SPEC NAME_0 INT_LIT CLOSE_VALUE_SPEC CLOSE_VAR_DECL EOF BOS EOF".split()
+    assert f"skip {tree}/r/bad.go: 2:" in err and f"skip {tree}/none.go: " in err
+    assert run(stdin=["x"])[0] == 2 and run(f"{tree}/r/bad.go")[0] == 1
+    assert run("-", stdin=[f"  {tree}/r/long.go\n", "\n"])[:2] == (0, ["BOS", "EOF"])
+    assert run("-", stdin=["\n"]) == (0, [], "")
+
+
+def test_config(capsys):
     assert config.parsed(config.Sampling, ["--block-size", "8", "--verbose", "yes"]) == config.Sampling(block_size=8, verbose=True)
+    assert config.parsed(config.Prepare, ["--val-frac=0.25", "--src", "--odd"]) == config.Prepare(val_frac=0.25, src="--odd")
+    for wrong in (["--none", "1"], ["block-size", "1"], ["--seed"], ["--seed", "x"]):
+        with pytest.raises(SystemExit) as e:
+            config.parsed(config.Sampling, wrong)
+        assert e.value.code == 2 and capsys.readouterr().err
 
 
 def test_windows(spark):
-    own = pack.blocks(spark.range(100).select(F.col("id").alias("pos"), F.col("id").cast("int").alias("id")), 8).cache()
+    own = pack.blocks(spark.range(0, 100, 7).select(F.col("id").alias("start"), F.sequence("id", F.least(F.col("id") + 6, F.lit(99))).cast("array<int>").alias("ids")), 8).cache()
     rows = pack.sampled_windows(own, 8, seed=3).collect()
     assert len(rows) == 12
     for r in rows:
@@ -207,6 +262,51 @@ def test_running_total(spark):
     assert pack.running_total(spark.createDataFrame([], "i long, n long"), "i", "n", "t").collect() == []
 
 
+def test_running_total_of_equal_values(spark):
+    """A value that most rows have, and an outlier."""
+    rows = [(5, 1)] * 2000 + [(k, 1) for k in range(5)] + [(10**15, 1)]
+    got = pack.running_total(spark.createDataFrame(rows, "i long, n long").repartition(3), "i", "n", "t").collect()
+    assert sorted(r.t for r in got) == list(range(1, 2007)) and [r.t for r in sorted(got, key=lambda r: r.t)][-1] == max(r.t for r in got if r.i == 10**15)
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 40])
+def test_blocks(spark, size):
+    rng = np.random.default_rng(size)
+    lengths, rows, at = rng.integers(0, 30, 40), [], 0
+    for n in lengths.tolist():
+        rows.append((at, list(range(at, at + n))))
+        at += n
+    packed = spark.createDataFrame(rows, "start long, ids array<int>").repartition(3)
+    got = sorted((r.block, r.ids) for r in pack.blocks(packed, size).collect())
+    assert got == [(b, list(range(b * size, min(at, (b + 1) * size)))) for b in range(-(-at // size))]
+    pairs = sorted((r.block, r.x, r.y) for r in pack.training_blocks(packed, size).collect())
+    assert pairs == [(b, list(range(b * size, (b + 1) * size)), list(range(b * size + 1, (b + 1) * size + 1))) for b in range((at - 1) // size)]
+
+
+def test_settings_come_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(RuntimeError), settings(spark, {name: "7"}):
+        assert spark.conf.get(name) == "7"
+        raise RuntimeError
+    assert spark.conf.get(name) == before
+
+
+def test_scopes(spark):
+    from pathlib import Path
+
+    from quarry.functions.shared import scope, written
+
+    folder = lambda df: Path(df.inputFiles()[0].removeprefix("file:")).parent
+    with scope(spark):
+        own = written(spark.range(3), "own", outer=1)
+        inner = folder(written(spark.range(3), "inner"))
+        with scope(spark):
+            far, near = written(spark.range(4), "far", outer=2), folder(written(spark.range(2), "near", outer=1))
+        assert inner.exists() and near.exists()
+    assert not inner.exists() and not near.exists() and own.count() == 3 and far.count() == 4
+
+
 def test_no_window_over_everything(spark, sf_dir):
     from quarry.plans import registry
 
@@ -215,12 +315,35 @@ def test_no_window_over_everything(spark, sf_dir):
 
 
 def test_top_k_and_draw(spark):
-    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate([3.0, 1.0, 2.0, 2.0, 0.0])], "k int, i int, x double")
-    assert sorted(r.i for r in metrics.top_k(rows, "k", "x", 2).collect()) == [0, 2, 3]
+    df = spark.createDataFrame([([3.0, 1.0, 2.0, 2.0, 0.0],), ([1.0],), ([],)], "x array<double>")
+    got = [[tuple(e) for e in r.t] for r in df.select(metrics.top_k(F.col("x"), 2).alias("t")).collect()]
+    assert got == [[(0, 3.0, 1), (2, 2.0, 2), (3, 2.0, 2)], [(0, 1.0, 1)], []]
     df = spark.createDataFrame([([0.5, 0.25, 0.25], 0.49), ([0.5, 0.25, 0.25], 0.5), ([0.5, 0.25, 0.25], 1.0)], "p array<double>, u double")
     assert [r.d for r in df.select(metrics.draw(F.col("p"), F.col("u")).alias("d")).collect()] == [0, 1, 2]
 
 
+def test_next_token(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=20).round(1).tolist(), float(rng.random())) for _ in range(50)]
+    df = spark.createDataFrame(rows, "x array<double>, u double")
+    got = df.select(metrics.next_token(F.col("x"), F.col("u"), 0.7, 5).alias("a"), metrics.next_token(F.col("x"), F.col("u")).alias("b"), metrics.next_token(F.col("x"), F.col("u"), 0.0, 1).alias("c")).collect()
+    for (x, u), r in zip(rows, got, strict=True):
+        x = np.array(x)
+        kept = np.flatnonzero(x >= np.sort(x)[-5])
+        for places, t, drawn in ((kept, 0.7, r.a), (np.arange(20), 1.0, r.b)):
+            p = np.exp(x[places] / t - x[places].max() / t)
+            assert drawn == places[min(np.searchsorted(np.cumsum(p / p.sum()), u, "right"), len(places) - 1)]
+        assert x[r.c] == x.max()
+
+
+def test_nesting_and_subtree(spark):
+    df = spark.createDataFrame([("a ( b ( ) ) ( )".split(),), (") (".split(),), ([],), ("x".split(),), ("( ( )".split(),)], "s array<string>")
+    change = lambda x: F.when(x == "(", 1).when(x == ")", -1).otherwise(0)
+    got = df.select(metrics.nesting(F.col("s"), change).alias("n"), metrics.first_subtree(F.col("s"), "(", ")").alias("t")).collect()
+    assert [tuple(r.n) for r in got] == [(2, 0), (0, 0), (None, None), (0, 0), (2, 1)]
+    assert [" ".join(r.t) for r in got] == ["( b ( ) )", "(", "", "", "( ( )"]
+
+
 def test_empty_losses(spark):
     assert metrics.mean_of_first(spark.createDataFrame([], "i int, v double"), "i", "v").first().mean == 0.0
 
