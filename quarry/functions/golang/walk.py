@@ -44,6 +44,7 @@ class Walk:
     def __init__(self):
         self.out: list[str] = []
         self.names: list[str] = []
+        self.slots: dict[str, list[int]] = {}  # of each name in scope, the innermost last
         self.field_of: dict[str, int] = {}
 
     # --- names ---
@@ -52,13 +53,23 @@ class Walk:
 
     def bound(self, name: str) -> int:
         """The innermost slot of a name, -1 without."""
-        return next((i for i in range(len(self.names) - 1, -1, -1) if self.names[i] == name), -1)
+        own = self.slots.get(name)
+        return own[-1] if own else -1
+
+    def bind(self, name: str) -> None:
+        self.slots.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def leave(self, mark: int) -> None:
+        """Ends what came into scope since there were `mark` names."""
+        while len(self.names) > mark:
+            self.slots[self.names.pop()].pop()
 
     def introduce(self, name: str) -> None:
         if name == "_":
             self.out.append("NAME_BLANK")
         else:
-            self.names.append(name)
+            self.bind(name)
             self.slot(len(self.names) - 1)
 
     def refer(self, name: str) -> None:
@@ -89,7 +100,7 @@ class Walk:
         for n in nodes:
             self.walk(n)
         if scope:
-            del self.names[mark:]
+            self.leave(mark)
         self.out.append(f"CLOSE_{kind}")
 
     def walk(self, n) -> None:
@@ -142,7 +153,7 @@ class Walk:
                 self.field_list(n.params, self.introduce)
             self.walk(n.type)
             if n.params is not None:
-                del self.names[mark:]
+                self.leave(mark)
 
         self.wrap("TYPE_SPEC", lambda: self.declare(n.name.name), rest)
 
@@ -163,7 +174,9 @@ class Walk:
                         found += [x.name for x in s.names]
                     else:
                         found.append(s.name.name)
-            self.names += [x for x in found if x not in ("", "_")]
+            for x in found:
+                if x not in ("", "_"):
+                    self.bind(x)
 
 
 def _op(text: str) -> str:
@@ -231,6 +244,6 @@ def tokens(source: str) -> list[str]:
         mark = len(w.names)
         w.walk(d)
         if isinstance(d, p.FuncDecl):
-            del w.names[mark:]
+            w.leave(mark)
     w.out.append("EOF")
     return w.out
