@@ -5,12 +5,16 @@ none, is one shingle), each a 64-bit hash. Documents of equal sets are one node
 steps:
 
 1. A pass over the texts makes each set's digest and HASHES MinHash values.
-2. Sets that agree on ROWS values of one of the bands meet in a bucket. In a bucket, every pair's
-   MinHash values are compared STEP at a time; with m of n equal, and a uniform prior, similarity
-   t or more has the posterior probability P[Binomial(n + 1, t) <= m], and the pair is dropped
-   as soon as that falls below TOLERANCE. Of the pairs that last, a spanning forest is kept.
-3. The forest's components have all pairs that may be linked. Their shingles are fetched, every pair
-   goes through the same pruning, and what lasts is verified by the exact Jaccard similarity.
+2. Sets that agree on ROWS values of one of the bands meet in a bucket. Pairs' MinHash values are
+   compared STEP at a time; with m of n equal, and a uniform prior, similarity t or more has the
+   posterior probability P[Binomial(n + 1, t) <= m], and the pair is dropped as soon as that falls
+   below TOLERANCE. First each member of a bucket is compared with the bucket's least, its leader:
+   once for each two sets, however many buckets they share. Members that last are led. Then, only in
+   buckets that have others, those are compared with all members; pairs that are known to be in one
+   tree are skipped. The pairs that last connect every two sets that any bucket's pairs do.
+3. The components of these edges have all pairs that may be linked. The texts are dealt by key, those
+   of the nodes are cut into shingles, every pair of a component goes through the same pruning, and
+   what lasts is verified by the exact Jaccard similarity.
 
 Buckets and components of more than BLOCK members are cut into blocks, and each pair of blocks is a
 group of its own that any task may take; pairs are counted where they are found and never become
@@ -19,11 +23,11 @@ proportion to members times blocks. At similarity 0.8 a pair is missed by all ba
 probability of 5e-8, and by the pruning with at most about TOLERANCE a step.
 
 Defined results: null and empty texts, and those without words, have no shingles, no links and a
-class each; rows that repeat are linked like any equal sets, and of those that repeat id and text
-any one may be kept; a null id ranks below any other; an empty table gives an empty result; other
-columns of any name are left alone, and pass through ``deduplicate``. Rows get a number in one scan,
-which is written; later scans, whose files may be dealt to other partitions, are matched with it by
-a key made of id and text.
+class each; very long texts are cut whole, in parts; rows that repeat are linked like any equal sets,
+and of those that repeat id and text any one may be kept; a null id ranks below any other, and ids may
+be of any type that has an order; an empty table gives an empty result; other columns of any name are
+left alone, and pass through ``deduplicate``. Rows get a number in one scan, which is written; later
+scans, whose files may be dealt to other partitions, are matched with it by a key made of id and text.
 """
 
 from __future__ import annotations
@@ -36,18 +40,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.common import byte_words, dropped, row_key, written
+from quarry.llm.common import byte_words, dropped, row_key, scope, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
-BLOCK, BUCKETS = 1000, 1 << 20
-#: Pairs that are compared together, and words whose hashes a worker keeps.
-PAIRS, KEPT = 100_000, 200_000
+BLOCK = 500
+#: Pairs that are compared together, words whose hashes a worker keeps, and sets in its forest.
+PAIRS, KEPT, TREES = 100_000, 200_000, 200_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -165,7 +169,8 @@ def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 class _Forest:
-    """Edges that join two trees, of those it is shown."""
+    """Edges that join two trees, of those it is shown. It forgets them once it has over TREES nodes,
+    which costs some edges more."""
 
     def __init__(self):
         self.up: dict[bytes, bytes] = {}
@@ -184,6 +189,15 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
         return True
 
+    def trees(self, names: list[bytes]) -> np.ndarray:
+        """The same number for names that are in one tree."""
+        number: dict[bytes, int] = {}
+        return np.array([number.setdefault(self.root(x), len(number)) for x in names], np.int64)
+
+    def bounded(self) -> None:
+        if len(self.up) > TREES:
+            self.up.clear()
+
 
 def _groups(stream: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of a stream that is sorted by keys, some thousand rows at a time, with the
@@ -213,12 +227,12 @@ def _groups(stream: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
         yield t, numbered(t)
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+def _matrix(t: pa.Table, column: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), "<u4").reshape(-1, HASHES)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pretokens.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("key"))
+    return pretokens.small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,23 +249,30 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ["row", "id", "key", "set", "n", "sig"],
             )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "row long, id long, key binary, set binary, n int, sig binary")
+    own = _texts(docs, id_col, text_col)
+    return own.mapInArrow(run, f"row long, id {own.schema['id'].dataType.simpleString()}, key binary, set binary, n int, sig binary")
+
+
+def _blocks(n: str) -> Column:
+    return F.ceil(F.col(n) / BLOCK).cast("int")
 
 
-def _dealt(members: DataFrame, key: str) -> DataFrame:
-    """members (with key and total, the key's number of members) once for each pair of blocks
-    (p, q) that they belong to; side is 0 in p, 1 in q, 2 where p is q."""
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return own.withColumns({
+def _one_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("set"), blocks).cast("int")
+
+
+def _dealt(members: DataFrame, key: str, own: Column, others: Column) -> DataFrame:
+    """members once for each pair of blocks (p, q), of their own block and each of others (an array),
+    that they belong to; side is 0 in p, 1 in q, 2 where p is q."""
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.withColumns({
         "p": F.least("own", "other"), "q": F.greatest("own", "other"),
         "side": F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1),
-    }).drop("blocks", "own", "other", "total").repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", "side")
+    }).drop("own", "other").repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", "side")
 
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """u, v: a spanning forest of the pairs that last in any bucket, with some edges over."""
+    """u, v: edges that last, which connect all that the lasting pairs of any bucket connect."""
     least = least_matches(threshold, tolerance)
 
     def bands(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,22 +287,47 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, tolerance: float =
             at = np.repeat(np.arange(t.num_rows), sig.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column("set").take(pa.array(at))], ["bucket", "set"])
 
+    def lead(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            t, n = pa.Table.from_batches([batch]), batch.num_rows
+            if n:
+                sig = np.concatenate([_matrix(t), _matrix(t, "other")])
+                kept = pa.array(lasting(sig, np.arange(n), np.arange(n, 2 * n), least)[0])
+                yield pa.RecordBatch.from_arrays([batch.column("set").take(kept), batch.column("leader").take(kept)], ["set", "leader"])
+
     def prune(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         for t, group in _groups(stream, ("bucket", "p", "q")):
-            sig, names, side = _matrix(t), t.column("set").to_pylist(), np.asarray(t.column("side"))
-            new = []
+            forest.bounded()
+            sig, names, side, new = _matrix(t), t.column("set").to_pylist(), np.asarray(t.column("side")), []
+            for x, leader in zip(names, t.column("leader").to_pylist(), strict=True):
+                if leader is not None:
+                    forest.joins(x, leader)
             for left, right in _pairs(group, side):
-                for a, b in zip(*lasting(sig, left, right, least), strict=True):
+                tree = forest.trees(names)
+                apart = tree[left] != tree[right]
+                for a, b in zip(*lasting(sig, left[apart], right[apart], least), strict=True):
                     if forest.joins(names[a], names[b]):
                         new.append((names[a], names[b]))
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.binary()), pa.array([b for _, b in new], pa.binary())], ["u", "v"])
 
     band = written(sets.select("set", "sig").mapInArrow(bands, "bucket long, set binary"), "bands")
-    shared = written(band.groupBy("bucket").agg(F.count("*").alias("total")).filter("total > 1"), "buckets")
-    members = band.join(shared, "bucket").join(sets.select("set", "sig"), "set")
-    return _dealt(members, "bucket").select("bucket", "p", "q", "side", "set", "sig").mapInArrow(prune, "u binary, v binary")
+    shared = written(band.groupBy("bucket").agg(F.count("*").alias("total"), F.min("set").alias("leader")).filter("total > 1"), "buckets")
+    members = written(band.join(shared.select("bucket", "leader"), "bucket").filter("set <> leader"), "members")
+    sig = sets.select("set", "sig")
+    both = members.select("set", "leader").distinct().join(sig, "set").join(sig.withColumnsRenamed({"set": "leader", "sig": "other"}), "leader")
+    led = written(both.select("set", "leader", "sig", "other").mapInArrow(lead, "set binary, leader binary"), "led")
+    state = members.join(led.withColumn("led", F.lit(True)), ["set", "leader"], "left").select("bucket", "set", F.when(F.col("led"), F.col("leader")).alias("leader"))
+    state = written(state, "states")
+    counts = state.groupBy("bucket").agg(F.count_if(F.col("leader").isNull()).alias("free"), F.count("leader").alias("led"))
+    open_ = state.join(written(counts.filter("free > 0 and free + led > 1"), "open"), "bucket")
+    open_ = written(open_, "open-members").join(sig, "set")
+    free, led_ = _blocks("free"), _blocks("led")
+    own = F.when(F.col("leader").isNull(), _one_of(free)).otherwise(free + _one_of(F.greatest(led_, F.lit(1))))
+    others = F.sequence(F.lit(0), F.when(F.col("leader").isNull(), free + led_).otherwise(free) - 1)
+    rest = _dealt(open_, "bucket", own, others).select("bucket", "p", "q", "side", "set", "leader", "sig").mapInArrow(prune, "u binary, v binary")
+    return led.select(F.col("set").alias("u"), F.col("leader").alias("v")).union(rest)
 
 
 def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -299,6 +345,7 @@ def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, to
     def verify(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         for t, group in _groups(stream, ("component", "p", "q")):
+            forest.bounded()
             sig, names, side, copies = _matrix(t), t.column("set").to_pylist(), np.asarray(t.column("side")), np.asarray(t.column("copies"))
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
             sizes = np.array([len(s) for s in sets])
@@ -328,33 +375,38 @@ def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, to
                 ["set", "other", "links"],
             )
 
-    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
-    kept = F.broadcast(nodes.select(bucket).distinct())  # BUCKETS rows at most
-    texts = docs.select("key", "text", bucket).join(kept, "bucket", "left_semi")
-    texts = texts.groupBy("key").agg(F.first("text").alias("text"))  # rows may repeat id and text
+    texts = docs.groupBy("key").agg(F.first("text").alias("text"))  # rows may repeat id and text
     total = nodes.groupBy("component").agg(F.count("*").alias("total"))
     own = written(nodes.join(total, "component"), "nodes")
     own = texts.join(own, "key").select("set", "component", "copies", "total", "text").mapInArrow(fetch, "set binary, component binary, copies long, total long, shingles binary, sig binary")
-    return _dealt(own, "component").select("component", "p", "q", "side", "set", "copies", "shingles", "sig").mapInArrow(verify, "set binary, other binary, links long")
+    blocks = _blocks("total")
+    dealt = _dealt(own, "component", _one_of(blocks), F.sequence(F.lit(0), blocks - 1))
+    return dealt.select("component", "p", "q", "side", "set", "copies", "shingles", "sig").mapInArrow(verify, "set binary, other binary, links long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """row, id, class_id, n_links, kept, key, once: a row per row of docs. Links are other rows of similarity
     at the threshold or more; a class is what links connect, its id the least id in it; the row of
     that id (the first, if repeated) is kept; once says whether that row has the same key."""
-    own = written(signatures(docs, id_col, text_col), "signatures")
-    sets = own.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    sets = written(sets, "sets")
-    nodes = components(candidates(sets, threshold))
-    nodes = nodes.withColumnRenamed("node", "set").join(sets.select("set", F.col("first.key").alias("key"), "copies"), "set")
-    found = written(verified(_texts(docs, id_col, text_col), written(nodes, "nodes"), threshold), "links")
-    classes = components(found.filter("other is not null").select(F.col("set").alias("u"), F.col("other").alias("v")))
-    links = found.filter("other is null").groupBy("set").agg(F.sum("links").alias("links"))
-    some = sets.select("set", "first", "copies").join(classes.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left")
-    some = written(some.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "set")), "linked")
-    first = written(some.groupBy("component").agg(F.min("first").alias("class")), "classes")
-    some = written(some.join(first, "component").select("set", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked-sets")
-    return own.select("row", "id", "key", "set").join(some, "set", "left").select(
+    with scope(docs.sparkSession):
+        with scope(docs.sparkSession):
+            full = written(signatures(docs, id_col, text_col), "signatures")
+            sets = full.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+            sets = written(sets, "sets", outer=1)
+            own = written(full.select("row", "id", "key", "set"), "rows", outer=2)
+        with scope(docs.sparkSession):
+            nodes = components(candidates(sets, threshold))
+            nodes = nodes.withColumnRenamed("node", "set").join(sets.select("set", F.col("first.key").alias("key"), "copies"), "set")
+            nodes = written(nodes, "nodes", outer=1)
+        found = written(verified(_texts(docs, id_col, text_col).select("key", "text"), nodes, threshold), "links")
+        classes = components(found.filter("other is not null").select(F.col("set").alias("u"), F.col("other").alias("v")))
+        links = found.filter("other is null").groupBy("set").agg(F.sum("links").alias("links"))
+        some = sets.select("set", "first", "copies").join(classes.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left")
+        some = written(some.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "set")), "linked")
+        first = written(some.groupBy("component").agg(F.min("first").alias("class")), "classes")
+        some = some.join(first, "component").select("set", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        some = written(some, "linked-sets", outer=1)
+    return own.join(some, "set", "left").select(
         "row", "id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class.id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col("class").isNull() | (F.col("class.row") == F.col("row"))).alias("kept"),

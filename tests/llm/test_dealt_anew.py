@@ -3,7 +3,8 @@ executors come or go: a row's place differs, so rows must be matched by content.
 
 import pytest
 from conftest_llm import odd_texts, rows_of
-from quarry.llm import common, exact_dedup, near_dup
+from quarry.llm import common, contamination, exact_dedup, near_dup
+from test_contamination import brute as leaks
 from test_exact_dedup import brute as equal
 from test_exact_dedup import normal
 from test_near_dup import brute as near
@@ -15,12 +16,12 @@ def dealt_anew(spark, odd, monkeypatch):
     written, and to one each after that."""
     name, written = "spark.sql.files.minPartitionNum", common.written
 
-    def then(df, at):
-        out = written(df, at)
+    def then(df, at, **how):
+        out = written(df, at, **how)
         spark.conf.set(name, "64")
         return out
 
-    for module in (common, exact_dedup, near_dup):
+    for module in (common, contamination, exact_dedup, near_dup):
         monkeypatch.setattr(module, "written", then)
     parts = []
     for n in ("64", "1"):
@@ -44,3 +45,10 @@ def test_a_row_of_each_class(dealt_anew):
 def test_a_row_of_each_text(dealt_anew):
     left = [(r.doc_id, normal(r.text)) for r in exact_dedup.deduplicate(dealt_anew).collect()]
     assert sorted(left, key=repr) == sorted(((i, k) for k, i in equal(odd_texts())[1].items()), key=repr)
+
+
+def test_clean_rows(spark, dealt_anew):
+    items = [(1, " ".join(odd_texts()[2][1].split()[5:30])), (2, "one two")]
+    out = contamination.decontaminate(dealt_anew, spark.createDataFrame(items, "item_id long, text string"))
+    want = [r for r in odd_texts() if not leaks([r], items)[0][2]]
+    assert rows_of(out, "doc_id", "text") == sorted(want, key=repr)
