@@ -12,9 +12,11 @@ a hash of the id), weighted to the classes' shares; only their numbers, not thei
 driver.
 
 Defined results: null texts are empty; an empty text has all numbers 0 and is scored by their bins;
-labels that are null are not learnt from, nor those of ids that documents lack; of an id that repeats
-any row may be learnt; with no labels of a class the score is the share of the other; an empty table
-gives an empty result; other columns of any name are not read.
+very long texts are described whole, words in parts; labels that are null are not learnt from, nor
+those of ids that documents lack; of an id that repeats, and so of rows that tie, any one may be
+learnt; with no labels of a class the score is the share of the other; an empty table gives an empty
+result; ids may be of any type; other columns of any name are not read, and those to keep may have any
+name but id and score.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import pretokens
 from quarry.llm.common import PART
@@ -39,7 +42,7 @@ FEATURES = (
     "word_length", "longest_word", "distinct_words", "repeated_words", "line_length", "short_lines", "distinct_lines", "top_byte",
 )
 SAMPLE, BINS, COARSE, PAIRS = 10_000, 32, 8, 8
-ROUNDS, PAIR_ROUNDS, RATE, LEAST = 200, 60, 0.1, 5.0
+ROUNDS, PAIR_ROUNDS, RATE, LEAST = 200, 60, 0.1, 1.25
 
 _CLASS = {
     "letters": b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(range(128, 256)), "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -81,7 +84,7 @@ def numbers(text: str) -> list[float]:
 
 def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """A value for each bin, of the best tree of two levels over the bins' sums of gradients and
-    second derivatives; a leaf has at least LEAST of the latter's weight."""
+    second derivatives; a side of a split has at least LEAST of the latter's weight."""
 
     def split(a: int, b: int) -> tuple[float, int]:
         cg, ch = np.cumsum(g[a:b]), np.cumsum(h[a:b])
@@ -89,7 +92,7 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
             return 0.0, a
         lg, lh, rg, rh = cg[:-1], ch[:-1], cg[-1] - cg[:-1], ch[-1] - ch[:-1]
         gain = lg**2 / (lh + 1) + rg**2 / (rh + 1) - cg[-1] ** 2 / (ch[-1] + 1)
-        gain[(lh < LEAST / 4) | (rh < LEAST / 4)] = 0
+        gain[(lh < LEAST) | (rh < LEAST)] = 0
         k = int(gain.argmax())
         return float(gain[k]), a + k + 1
 
@@ -105,17 +108,19 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
     """The best table of a split of the first feature and one of the second on either side of it,
-    over joint bins, and its gain."""
+    over joint bins, and its gain; a side of the latter split with less than LEAST of the second
+    derivatives' weight gets no value."""
     best, gain = np.zeros_like(g), 0.0
     for first in range(1, g.shape[0]):
         out, total = np.zeros_like(g), 0.0
         for a, b in ((0, first), (first, g.shape[0])):
             cg, ch = np.cumsum(g[a:b].sum(0)), np.cumsum(h[a:b].sum(0))
-            each = cg[:-1] ** 2 / (ch[:-1] + 1) + (cg[-1] - cg[:-1]) ** 2 / (ch[-1] - ch[:-1] + 1)
+            sides = (cg[:-1], ch[:-1]), (cg[-1] - cg[:-1], ch[-1] - ch[:-1])
+            left, right = (np.where(h_ >= LEAST, g_ / (h_ + 1), 0) for g_, h_ in sides)
+            each = left * sides[0][0] + right * sides[1][0]
             k = int(each.argmax()) + 1
             total += float(each[k - 1])
-            out[a:b, :k] = -cg[k - 1] / (ch[k - 1] + 1)
-            out[a:b, k:] = -(cg[-1] - cg[k - 1]) / (ch[-1] - ch[k - 1] + 1)
+            out[a:b, :k], out[a:b, k:] = -left[k - 1], -right[k - 1]
         if total > gain:
             best, gain = out, total
     return best, gain
@@ -184,14 +189,16 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Model:
 
 def described(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """id, the columns to keep, and x, the texts' numbers."""
-    own = pretokens.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+    if taken := {"id", "x"} & {k.lower() for k in keep}:
+        raise ValueError(f"columns to keep can't be named {sorted(taken)}")
+    own = pretokens.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(k).alias(f"__keep_{n}") for n, k in enumerate(keep)])
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pretokens.batches(stream):
-            yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(k) for k in keep), pa.array([numbers(t) for t in texts], pa.list_(pa.float64()))], ["id", *keep, "x"])
+        for part, texts in pretokens.batches(stream, "__text"):
+            yield pa.RecordBatch.from_arrays([part.column("__id"), *(part.column(2 + n) for n in range(len(keep))), pa.array([numbers(t) for t in texts], pa.list_(pa.float64()))], ["id", *keep, "x"])
 
-    types = dict(own.dtypes)
-    return own.mapInArrow(run, ", ".join([f"id {types['id']}", *(f"{k} {types[k]}" for k in keep), "x array<double>"]))
+    types = [f.dataType for f in own.schema.fields]
+    return own.mapInArrow(run, T.StructType([T.StructField("id", types[0]), *(T.StructField(k, t) for k, t in zip(keep, types[2:], strict=True)), T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:

@@ -4,16 +4,19 @@ A text's features are the distinct n-grams of its lower-cased characters, for th
 hashed to 2**BITS places. From labelled rows, each feature gets its log-count ratio, the logarithm
 of the share of toxic rows that have it over that of the others, both smoothed. Features whose shares
 differ by SURE standard errors, those with the strongest evidence first, are kept, and a logistic
-regression with a penalty is fitted to features scaled by their ratios, so a score is one sum of weights over the distinct n-grams of a whole text.
+regression with a penalty is fitted to features scaled by their ratios, so a score is one sum of
+weights over the distinct n-grams of a whole text.
 
-The labelled sample is bounded, by parameters: at most `most` rows of either class, in the order
-of a hash of the id, whose texts have at most LONGEST characters (all texts are scored, however
-long); rows are weighted so that the classes count as often as they do among all labelled rows.
+The labelled sample is bounded, by parameters, in rows and in characters: at most `most` rows of
+either class, in the order of a hash of the id, whose texts have at most LONGEST characters (all
+texts are scored, however long, and whole), and of these as many as have MOST_CHARS together; rows are
+weighted so that the classes count as often as they do among all labelled rows.
 
 Defined results: null texts are empty; an empty text is scored by the intercept; labels that are
-null are not learnt from, nor those of ids that documents lack; of an id that repeats any row may
-be learnt; with no labels of a class the score is the share of the other; an empty table gives an
-empty result; other columns of any name are not read.
+null are not learnt from, nor those of ids that documents lack; of an id that repeats, and so of rows
+that tie, any one may be learnt; with no labels of a class the score is the share of the other; an
+empty table gives an empty result; ids may be of any type; other columns of any name are not read, and
+those to keep may have any name but id and score.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import pretokens
 
-ORDERS, BITS = (3, 4, 5), 21
-SAMPLE, LONGEST, FEATURES = 4000, 200_000, 20_000
+ORDERS, BITS = (3, 4, 5), 22
+SAMPLE, LONGEST, MOST_CHARS, FEATURES = 6000, 200_000, 48_000_000, 20_000
 SMOOTH, SURE, PENALTY, STEPS = 0.5, 5.0, 1e-4, 120
 #: Characters of a text in hand at a time.
 PART = 1 << 20
@@ -145,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     """The model of a sample, fitted by one task, as the sample is bounded; what comes to the driver
     is the model."""
     rows, count = sample(docs, labels, label_col, learn, most, id_col, text_col)
-    rows = rows.filter(F.length(F.coalesce("text", F.lit(""))) <= LONGEST).dropDuplicates(["id"]).repartition(1).sortWithinPartitions("id")
+    rows = rows.withColumn("length", F.length(F.coalesce("text", F.lit("")))).filter(F.col("length") <= LONGEST).dropDuplicates(["id"])
+    drawn = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # of the sample, in one task
+    rows = rows.withColumn("upto", F.sum("length").over(drawn)).filter(F.col("upto") <= MOST_CHARS).sortWithinPartitions("id")
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = [], []
@@ -162,15 +168,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], Iterable[float]]], id_col: str, text_col: str, *keep: str) -> DataFrame:
     """id, score, and the columns to keep."""
-    own = pretokens.small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    if taken := {"id", "score"} & {k.lower() for k in keep}:
+        raise ValueError(f"columns to keep can't be named {sorted(taken)}")
+    own = pretokens.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(k).alias(f"__keep_{n}") for n, k in enumerate(keep)])
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for part, texts in pretokens.batches(stream):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(score(texts)), pa.float64()), *(part.column(k) for k in keep)], ["id", "score", *keep])
+        for part, texts in pretokens.batches(stream, "__text"):
+            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(list(score(texts)), pa.float64()), *(part.column(2 + n) for n in range(len(keep)))], ["id", "score", *keep])
 
-    types = dict(docs.dtypes)
-    return own.mapInArrow(run, ", ".join(["id long", "score double", *(f"{k} {types[k]}" for k in keep)]))
+    types = [f.dataType for f in own.schema.fields]
+    return own.mapInArrow(run, T.StructType([T.StructField("id", types[0]), T.StructField("score", T.DoubleType()), *(T.StructField(k, t) for k, t in zip(keep, types[2:], strict=True))]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:

@@ -117,3 +117,149 @@ def test_scores_depend_on_texts_alone(spark, corpus):
     model = toxicity.train(corpus, corpus.select("doc_id", "toxic"), F.lit(True))
     other = corpus.withColumn("doc_id", -F.col("doc_id"))
     assert sorted(s for _, s in rows_of(toxicity.score(other, model), "id", "score")) == sorted(s for _, s in rows_of(toxicity.score(corpus, model), "id", "score"))
+
+
+def naive_toxicity(texts, labels, weights):
+    """The scores of the model over n-grams themselves, in dictionaries and loops."""
+    grams = [{t.lower()[k : k + n] for n in toxicity.ORDERS for k in range(len(t) - n + 1)} for t in texts]
+    every = sorted(set().union(*grams))
+    n = [labels.count(0), labels.count(1)]
+    ratio, strength = {}, {}
+    for g in every:
+        has = [sum(g in own for own, y in zip(grams, labels, strict=True) if y == k) for k in (0, 1)]
+        q, p = ((has[k] + toxicity.SMOOTH) / (n[k] + 2 * toxicity.SMOOTH) for k in (0, 1))
+        both = (sum(has) + toxicity.SMOOTH) / (sum(n) + 2 * toxicity.SMOOTH)
+        if abs(p - q) >= toxicity.SURE * (both * (1 - both) * (1 / n[0] + 1 / n[1])) ** 0.5:
+            ratio[g], strength[g] = np.log(p / q), abs(np.log(p / q) * (p - q))
+    kept = sorted(ratio, key=lambda g: -strength[g])[: toxicity.FEATURES]
+    total = sum(weights)
+    share = sum(w * y for w, y in zip(weights, labels, strict=True)) / total
+    beta, b0 = dict.fromkeys(kept, 0.0), float(np.log(share / (1 - share)))
+    m, v = dict.fromkeys([*kept, None], 0.0), dict.fromkeys([*kept, None], 0.0)
+    score = lambda own: 1 / (1 + np.exp(-(b0 + sum(ratio[g] * beta[g] for g in kept if g in own))))
+    for step in range(1, toxicity.STEPS + 1):
+        errors = [w / total * (score(own) - y) for own, y, w in zip(grams, labels, weights, strict=True)]
+        slope = {g: sum(e * ratio[g] for own, e in zip(grams, errors, strict=True) if g in own) + toxicity.PENALTY * beta[g] for g in kept}
+        slope[None] = sum(errors)
+        move = {}
+        for g, d in slope.items():
+            m[g], v[g] = 0.9 * m[g] + 0.1 * d, 0.999 * v[g] + 0.001 * d * d
+            move[g] = 0.05 * (m[g] / (1 - 0.9**step)) / (np.sqrt(v[g] / (1 - 0.999**step)) + 1e-9)
+        b0 -= move.pop(None)
+        beta = {g: beta[g] - move[g] for g in kept}
+    return [score(own) for own in grams], len(kept)
+
+
+def test_toxicity_against_a_naive_fit(monkeypatch):
+    monkeypatch.setattr(toxicity, "SURE", 1.5)
+    rng = random.Random(5)
+    texts, labels = [], []
+    for k in range(24):
+        texts.append(" ".join([word(rng) for _ in range(6)] + [rng.choice(INSULTS).title()] * (k % 3 == 0)))
+        labels.append(int(k % 3 == 0) ^ (k == 7))
+    weights = [1.0 + 0.5 * y for y in labels]
+    grams = toxicity.NGrams()
+    places = [set(grams.places(t).tolist()) for t in texts]
+    exact = [{t.lower()[k : k + n] for n in toxicity.ORDERS for k in range(len(t) - n + 1)} for t in texts]
+    assert len(set().union(*places)) == len(set().union(*exact))  # no two share a place
+    want, kept = naive_toxicity(texts, labels, weights)
+    model = toxicity.fit(texts, np.array(labels), np.array(weights))
+    assert len(model.places) == kept > 20
+    assert np.allclose([model.scorer()(t) for t in texts], want, atol=1e-4)
+
+
+def naive_tree(x, g, h, bins):
+    """A value a bin: the best split of all bins, then the best of either side, by trying each."""
+    total = lambda a, b: (sum(gi for xi, gi in zip(x, g, strict=True) if a <= xi < b), sum(hi for xi, hi in zip(x, h, strict=True) if a <= xi < b))
+
+    def split(a, b):
+        best, at = 0.0, None
+        for c in range(a + 1, b):
+            (lg, lh), (rg, rh), (tg, th) = total(a, c), total(c, b), total(a, b)
+            gain = lg**2 / (lh + 1) + rg**2 / (rh + 1) - tg**2 / (th + 1)
+            if min(lh, rh) >= quality.LEAST and gain > best + 1e-12:
+                best, at = gain, c
+        return at
+
+    cuts = [0, bins]
+    if (at := split(0, bins)) is not None:
+        cuts = [0, *[c for c in (split(0, at), at, split(at, bins)) if c is not None], bins]
+    out = [0.0] * bins
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        tg, th = total(a, b)
+        out[a:b] = [-tg / (th + 1)] * (b - a)
+    return out
+
+
+def naive_quadrants(x, y, g, h, shape):
+    """The best table of a split of x and one of y on either side of it, by trying each."""
+    best, gain = [[0.0] * shape[1] for _ in range(shape[0])], 0.0
+    for first in range(1, shape[0]):
+        table, got = [[0.0] * shape[1] for _ in range(shape[0])], 0.0
+        for a, b in ((0, first), (first, shape[0])):
+            own, value = (-1.0, None), lambda tg, th: tg / (th + 1) if th >= quality.LEAST else 0.0
+            for c in range(1, shape[1]):
+                sides = [(sum(gi for xi, yi, gi in zip(x, y, g, strict=True) if a <= xi < b and (yi < c) == low), sum(hi for xi, yi, hi in zip(x, y, h, strict=True) if a <= xi < b and (yi < c) == low)) for low in (True, False)]
+                here = sum(value(*s) * s[0] for s in sides)
+                if here > own[0] + 1e-12:
+                    own = here, (c, [-value(*s) for s in sides])
+            got += own[0]
+            c, (left, right) = own[1]
+            for i in range(a, b):
+                table[i] = [left] * c + [right] * (shape[1] - c)
+        if got > gain + 1e-12:
+            best, gain = table, got
+    return best, gain
+
+
+def test_quality_against_naive_boosting(monkeypatch):
+    for name, value in (("ROUNDS", 4), ("PAIR_ROUNDS", 3), ("PAIRS", 2), ("BINS", 6), ("COARSE", 4), ("LEAST", 0.5)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    w = 1 + rng.random(80)
+    model = quality.fit(x, y, w)
+    w = w * (len(y) / w.sum())
+    share = float((w * y).sum() / w.sum())
+    bins = [[int(sum(v >= e for e in np.unique(np.quantile(x[:, k], np.arange(1, 6) / 6)))) for v in x[:, k]] for k in range(3)]
+    rough = [[int(sum(v >= e for e in np.unique(np.quantile(x[:, k], np.arange(1, 4) / 4)))) for v in x[:, k]] for k in range(3)]
+    z = [float(np.log(share / (1 - share)))] * 80
+    slopes = lambda: zip(*[(wi * (1 / (1 + np.exp(-zi)) - yi), wi * (1 / (1 + np.exp(-zi))) * (1 - 1 / (1 + np.exp(-zi)))) for wi, yi, zi in zip(w, y, z, strict=True)], strict=True)
+    clip = lambda v: quality.RATE * max(-4.0, min(4.0, v))
+    tables = [[0.0] * 6 for _ in range(3)]
+    for _ in range(4):
+        for k in range(3):
+            step = [clip(v) for v in naive_tree(bins[k], *slopes(), 6)]
+            tables[k] = [a + b for a, b in zip(tables[k], step, strict=True)]
+            z = [a + step[b] for a, b in zip(z, bins[k], strict=True)]
+    assert np.allclose(model.tables, tables)
+    gains = {(a, b): naive_quadrants(rough[a], rough[b], *slopes(), (4, 4))[1] for a, b in ((0, 1), (0, 2), (1, 2))}
+    chosen = sorted(gains, key=lambda ab: (-gains[ab], ab))[:2]
+    pairs = {ab: np.zeros((4, 4)) for ab in chosen}
+    for _ in range(3):
+        for a, b in chosen:
+            step = [[clip(v) for v in row] for row in naive_quadrants(rough[a], rough[b], *slopes(), (4, 4))[0]]
+            pairs[a, b] += step
+            z = [v + step[i][j] for v, i, j in zip(z, rough[a], rough[b], strict=True)]
+    assert [(a, b) for a, b, _ in model.pairs] == chosen and all(np.allclose(t, pairs[a, b]) for a, b, t in model.pairs)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(z))))
+
+
+def test_sample_is_bounded_in_characters(corpus, monkeypatch):
+    """Too few characters for a feature to be sure of: the score is the share of what was drawn."""
+    labels = corpus.select("doc_id", "toxic")
+    assert len(toxicity.train(corpus, labels, F.lit(True)).places) > 0
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 3000)
+    assert len(toxicity.train(corpus, labels, F.lit(True)).places) == 0
+
+
+def test_kept_columns(spark):
+    docs = spark.createDataFrame([("a", "some text", 5, "x")], "key string, body string, text int, `odd name` string")
+    model = toxicity.constant(1.0)
+    row = toxicity.score(docs, model, "key", "body", "text").first()
+    assert (row.id, row.text) == ("a", 5) and row.score > 0.99
+    assert quality.described(docs, "key", "body", "text").first().text == 5
+    for own in (toxicity.score, quality.score):
+        with pytest.raises(ValueError, match="named"):
+            own(docs.withColumn("score", F.lit(1)), model, "key", "body", "score")
