@@ -1,15 +1,17 @@
 """License scans: phrases in place, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, taken as the set of its words, or, where no line of it meets a template,
-as many consecutive words over line ends as the template's notice has, so that a notice is found
-however it is wrapped. A template is the set of the words of a licence notice. The join finds every pair in which the block holds at least THRESHOLD of the
-template's words:
+A template is the set of the words of a licence notice. A block, taken as the set of its words, is a
+line of a text, or a run of consecutive words over a line end, as many as the template's notice has
+(the whole text, where that has fewer), that touches no line which meets the template by itself: so a
+notice is found however it is wrapped, and marks of comments are no words. The join finds every pair
+in which the block holds at least THRESHOLD of the template's words:
 
 * Words are ordered by the number of documents of the corpus that have them, the rarest first; words
   that no template has come last, in any order. One pass over the corpus counts them.
 * Prefix filter: of a template of n words that needs o in common, the n - o + 1 first in that order
   can't all be missing, so only blocks with one of them are looked at. Those words are found in the
-  text as substrings, and nothing else of the text is cut into words.
+  text as substrings, and nothing else of the text is cut into words. A run of words that holds one
+  crosses an end of the line that the word stands in, so only runs over those ends are looked at.
 * Length filter: a block needs o words. Positional filter: where the first word in common stands at
   place i of the template and j of the block's own words of templates, no more than the lesser rest
   can follow.
@@ -18,8 +20,8 @@ template's words:
 Beside it, ``phrases`` are found where their words stand one behind the other, over line ends too.
 
 Defined results: null and empty texts have no words, places or labels and score 0; texts and lines of
-any length are read whole, in parts; rows that repeat get the same result; an empty table gives an
-empty result; other columns of any name are not read.
+any length are read whole, in parts; rows that repeat or tie get the same result; ids may be of any type
+and null; an empty table gives an empty result; other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -106,27 +108,31 @@ class Join:
                 at = low.find(w, line[1])  # the line is found; on with the next
         return found
 
-    def wrapped(self, low: bytes, end: int, k: int) -> list[tuple[int, int, int, float]]:
-        """The first of the best blocks of template k's length, over the line end before byte `end`,
-        that meet the threshold."""
+    def wrapped(self, low: bytes, end: int, k: int, taken: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
+        """The first of the best blocks of template k over the line end before byte `end` that meets
+        the threshold and touches none of the lines taken."""
         t = self.templates[k]
-        near = _before(low, end, t.length - 1) + _after(low, end, t.length - 1)
-        best: list[tuple[int, int, int, float]] = []
+        before, after = _before(low, end, t.length - 1), _after(low, end, t.length - 1)
+        near, best = before + after, []
         for i in range(max(1, len(near) - t.length + 1)):
             own = near[i : i + t.length]
+            if not i < len(before) < i + len(own) or any(own[0][0] < b and a < own[-1][1] for a, b in taken):
+                continue
             common = len({w for _, _, w in own}.intersection(t.words))
             if common >= t.needed and (not best or common / len(t.words) > best[0][3]):
                 best = [(own[0][0], own[-1][1], k, common / len(t.words))]
         return best
 
     def blocks(self, low: bytes, wordly: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(from, to, template, containment) of every line that meets the threshold, and of blocks
-        over line ends that do and hold nothing of such a line."""
+        """(from, to, template, containment) of every line that meets the threshold, and of the best
+        block over each line end that does."""
         found = self.candidates(low, wordly)
         lines = self.lines(low, found)
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for a, b, k, _ in lines:
+            taken.setdefault(k, []).append((a, b))
         ends = sorted({(end, k) for (a, b), templates in found.items() for k in templates for end in (a, b + 1) if 0 < end < len(low)})
-        more = {x for end, k in ends for x in self.wrapped(low, end, k)}
-        return sorted(lines + [x for x in more if not any(x[2] == k and x[0] < b and a < x[1] for a, b, k, _ in lines)])
+        return sorted({*lines, *(x for end, k in ends for x in self.wrapped(low, end, k, taken.get(k, [])))})
 
     def lines(self, low: bytes, found: dict[tuple[int, int], set[int]]) -> list[tuple[int, int, int, float]]:
         """Those of the candidates that meet the threshold."""
@@ -178,7 +184,12 @@ def places(low: bytes, phrases: Iterable[str]) -> list[tuple[int, str]]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pretokens.small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return pretokens.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def _typed(own: DataFrame, rest: str) -> str:
+    """The schema of what an operator gives: id as it is, and the rest."""
+    return f"id {own.schema['id'].dataType.simpleString()}, {rest}"
 
 
 def frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> dict[bytes, int]:
@@ -205,11 +216,17 @@ def blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, i
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wordly = is_word()
         for part, texts in pretokens.batches(stream):
-            rows = [(i, a, b, join.templates[k].label, c) for i, text in zip(part.column("id").to_pylist(), texts, strict=True) for a, b, k, c in join.blocks(text.encode().lower(), wordly)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], ["id", "begin", "end", "label", "containment"])
+            at, rows = [], []
+            for i, text in enumerate(texts):
+                found = join.blocks(text.encode().lower(), wordly)
+                at += [i] * len(found)
+                rows += [(a, b, join.templates[k].label, c) for a, b, k, c in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            own = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), *own], ["id", "begin", "end", "label", "containment"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, begin long, end long, label string, containment double")
+    own = _texts(docs, id_col, text_col)
+    return own.mapInArrow(run, _typed(own, "begin long, end long, label string, containment double"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,4 +252,5 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    own = _texts(docs, id_col, text_col)
+    return own.mapInArrow(run, _typed(own, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"))

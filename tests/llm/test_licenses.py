@@ -14,14 +14,17 @@ def brute(text):
         p = phrase.encode().split()
         found += [(k, label) for k in range(len(own)) if own[k : k + len(p)] == p]
     labels, best = {x for _, x in found}, 0.0
-    for line in (text or "").split("\n"):
-        have = set(words(line))
-        for label, notice in licenses.TEMPLATES:
-            t = set(words(notice))
-            share = len(t & have) / len(t)
-            if share >= licenses.THRESHOLD - 1e-12:
-                labels.add(label)
-                best = max(best, share)
+    lines = [words(line) for line in (text or "").split("\n")]
+    of = [k for k, line in enumerate(lines) for _ in line]  # the line of each word
+    for label, notice in licenses.TEMPLATES:
+        t, n = set(words(notice)), len(words(notice))
+        share = [len(t & set(line)) / len(t) for line in lines]
+        hits = {k for k, c in enumerate(share) if c >= licenses.THRESHOLD - 1e-12}
+        runs = [range(s, min(s + n, len(own))) for s in range(max(1, len(own) - n + 1)) if own]
+        share += [len(t & {own[k] for k in r}) / len(t) for r in runs if of[r[0]] < of[r[-1]] and not hits & set(range(of[r[0]], of[r[-1]] + 1))]
+        if max(share) >= licenses.THRESHOLD - 1e-12:
+            labels.add(label)
+            best = max(best, max(share))
     at = [k for k, _ in found]
     join = lambda x: ",".join(sorted(x))
     return len(own), len(found), min(at, default=None), max(at, default=None), join({x for _, x in found}), join(labels), 1.0 if found else best
@@ -39,15 +42,19 @@ def test_scan(odd, empty):
 
 @pytest.fixture(scope="module")
 def mangled():
-    """Notices with words left out, doubled, moved and put in."""
+    """Notices with words left out, doubled, moved and put in, and lines broken anywhere."""
     rng, out = random.Random(3), []
-    for k in range(400):
+    for k in range(600):
         own = re.findall(r"\S+", rng.choice(licenses.TEMPLATES)[1])
         for _ in range(rng.randrange(4)):
             own.pop(rng.randrange(len(own))) if rng.random() < 0.6 and len(own) > 1 else own.insert(rng.randrange(len(own)), rng.choice(["the", "of", "license", "und", "mit", "gnu"]))
-        if rng.random() < 0.5:
+        if rng.random() < 0.3:
             rng.shuffle(own)
-        out.append((k, "first line\n" + rng.choice(PUNCTUATION).join(own) + "\nlast"))
+        if rng.random() < 0.3:
+            own += re.findall(r"\S+", rng.choice(licenses.TEMPLATES)[1])
+        gaps = PUNCTUATION if k % 2 else [*PUNCTUATION, "\n", "\n // "]
+        body = "".join(w + rng.choice(gaps) for w in own)
+        out.append((k, rng.choice(["first line\n", "", "\n\n", "the "]) + body + rng.choice(["\nlast", "", "\n"])))
     return out
 
 
