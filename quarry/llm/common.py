@@ -8,9 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.shared import bucketed, scope, shared_path, written
+from quarry.functions.shared import bucketed, scope, settings, shared_path, written
 
-__all__ = ["ascii_lower", "bucketed", "byte_words", "dropped", "parquet", "row_key", "scope", "shared_path", "unused", "without", "words", "written"]
+__all__ = ["ascii_lower", "bucketed", "byte_words", "dropped", "parquet", "row_key", "scope", "settings", "shared_path", "unused", "without", "words", "written"]
 
 #: Fixed values of the word rule: what parts words, after A-Z were lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -25,24 +25,37 @@ def op3_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(parquet(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-#: The templates' words are told to SQL as text; the SQL itself compares every line with all of them.
+#: The templates' words are told to SQL as text; the SQL itself compares every line, and every run of
+#: as many words as a notice has, with all of them.
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
 ), w AS (
   SELECT doc_id, x, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d
 ), p(phrase, label) AS (VALUES {phrases}), t(name, label, notice) AS (VALUES {templates}),
-t2 AS (SELECT name, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw FROM t),
+t2 AS (SELECT name, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw, len(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n FROM t),
 m AS (
   SELECT doc_id, s - 1 AS s, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM w) , p
   WHERE array_to_string(w[s:s + len(string_split(phrase, ' ')) - 1], ' ') = phrase
 ), b AS (
   SELECT doc_id, count(*) AS n, min(s) AS a, max(s) AS z, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM m GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS lw FROM d
-), hit AS (
-  SELECT doc_id, label, len(list_intersect(lw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, t2
+  SELECT doc_id, ln, fw, list_distinct(fw) AS lw
+  FROM (SELECT doc_id, generate_subscripts(string_split(x, chr(10)), 1) AS ln, regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS fw FROM d)
+), line_hit AS (
+  SELECT doc_id, name, ln, label, len(list_intersect(lw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, t2
   WHERE len(list_intersect(lw, tw)) >= ceil({threshold} * len(tw) - 1e-9)
+), lw AS (
+  SELECT doc_id, flatten(list(list_transform(fw, lambda x: ln) ORDER BY ln)) AS lines, flatten(list(fw ORDER BY ln)) AS w FROM lines GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, name, label, tw, w[s:s + n - 1] AS rw, lines[s] AS a, lines[least(s + n - 1, len(w))] AS z
+  FROM (SELECT doc_id, lines, w, name, label, tw, n, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS s FROM lw, t2 WHERE len(list_intersect(w, tw)) >= ceil({threshold} * len(tw) - 1e-9))
+), hit AS (
+  SELECT doc_id, label, c FROM line_hit
+  UNION ALL
+  SELECT doc_id, label, len(list_intersect(rw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM runs r
+  WHERE a < z AND len(list_intersect(rw, tw)) >= ceil({threshold} * len(tw) - 1e-9)
+    AND NOT EXISTS (SELECT 1 FROM line_hit h WHERE h.doc_id = r.doc_id AND h.name = r.name AND h.ln BETWEEN r.a AND r.z)
 ), ls AS (
   SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id
 ), sc AS (SELECT doc_id, max(c) AS c FROM hit GROUP BY doc_id)
@@ -98,10 +111,10 @@ def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination.report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+    out = contamination.report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"), slop=1)
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 
 
@@ -118,14 +131,21 @@ WITH d AS (
   FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, n WHERE len(w) >= n)) dw
   JOIN bw USING (g, n)
+), bt AS (
+  SELECT g, n, unnest(string_split(g, ' ')) AS word, unnest(range(n)) AS k FROM (SELECT DISTINCT g, n FROM bw)
+), dt AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), near AS (
+  SELECT DISTINCT doc_id, g, n FROM dt JOIN bt USING (word), (SELECT unnest([-1, 0, 1]) AS away)
+  GROUP BY doc_id, g, n, pos - k + away HAVING count(DISTINCT k) = n
+), x AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN bw USING (g, n) GROUP BY doc_id
 ), h AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id
 ), i AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM m GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
 

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from conftest_llm import frame, odd_texts, rows_of, words
 from quarry.llm import contamination
+from quarry.llm.common import settings
 
 ITEMS = [(1, "item", None), (2, "item", ""), (3, "item", "river"), (4, "item", "word word word"), (10, "item", None), (11, "item", ".;"), (12, "item", None)]
 
@@ -64,14 +65,50 @@ def test_decontaminate(spark, odd, items):
     assert out.columns == odd.columns and sorted(map(repr, (r.doc_id for r in out.collect()))) == sorted(map(repr, clean))
 
 
-def test_near(spark):
-    texts = [(1, "alpha beta gamma delta"), (2, "alpha x beta"), (3, "alpha x x x x beta"), (4, "beta alpha")]
-    own = contamination.Items(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
-    docs = frame(spark, texts)
-    postings = contamination.index(docs, own)
-    key = {(r.i, r.h): r.id for r in postings.filter("term = 0").collect()}
-    found = lambda slop: sorted({key[r.i, r.h] for r in contamination.near(own, postings, slop).collect()})
-    assert found(0) == [1] and found(1) == [1, 2] and found(2) == [1, 2, 4] and found(4) == [1, 2, 3, 4]
+def brute_near(rows, items, slop, window=10):
+    """The number of items of which every word of a window stands at most `slop` places from its own,
+    counted from some start."""
+    out = []
+    for i, t in rows:
+        places, found = {}, set()
+        for k, w in enumerate(words(t)):
+            places.setdefault(w, []).append(k)
+        for item, text in items:
+            own = words(text)
+            for at in range(max(1, len(own) - window + 1) if own else 0):
+                starts = [{p - k + d for p in places.get(w, ()) for d in range(-slop, slop + 1)} for k, w in enumerate(own[at : at + window])]
+                if item is not None and set.intersection(*starts):
+                    found.add(item)
+        out.append((i, len(found)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_near(spark, odd, items, slop):
+    rows = [*odd_texts(), (600, "alpha x beta"), (601, "alpha x x x x beta"), (602, "beta alpha"), (603, "alpha alpha beta beta")]
+    items = [*items, (50, "alpha beta"), (51, "beta alpha beta")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.report(frame(spark, rows), benchmark, slop=slop)
+    assert rows_of(got, "id", "n_near") == brute_near(rows, items, slop)
+    exact = sorted(((r.id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in got.collect()), key=repr)
+    assert exact == brute(rows, items) and all(r.n_near >= r.n_items for r in got.collect())
+
+
+@pytest.mark.parametrize("slop", [0, 1])
+def test_no_posting_is_moved(spark, odd, items, slop):
+    """Lists are intersected by row where they stand: nothing is shuffled, nor any list broadcast."""
+    own = contamination.Items(spark.createDataFrame(items, "item_id long, text string"))
+    postings = contamination.index(odd, own)
+    terms = contamination.ranked(own, postings)
+    with settings(spark, contamination.IN_PLACE | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = contamination._met(postings, terms, slop)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 3 and "Bucketed: false" not in plan and "hashpartitioning" not in plan
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "two"), (None, None)], "doc_id string, text string")
+    got = contamination.report(docs, spark.createDataFrame([("i", "one two")], "item_id string, text string"))
+    assert rows_of(got, "id", "n_hit") == [("a", 2), ("b", 0), (None, 0)]
 
 
 def test_native(spark, odd, items):
