@@ -212,7 +212,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
-    own = pretokens.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, f"id {_type(own)}, ids array<int>")
 
 
@@ -245,5 +245,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 b.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    own = pretokens.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, f"id {_type(own)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

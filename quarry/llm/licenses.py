@@ -184,7 +184,7 @@ def places(low: bytes, phrases: Iterable[str]) -> list[tuple[int, str]]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return pretokens.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def _typed(own: DataFrame, rest: str) -> str:
@@ -204,7 +204,7 @@ def frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") ->
                 count.update(set().union(*(vocabulary.intersection(part) for part in byte_words(text.encode().lower()))))
         yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"])
 
-    rows = pretokens.small_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.word): r.n for r in rows}
 
 

@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 #: Pieces that a worker keeps at most, and bytes of texts in hand at a time.
 KEPT, BYTES = 500_000, 1_000_000
@@ -288,21 +287,10 @@ def by_text(texts: list[str], split: Splitter, table: Table) -> list[np.ndarray]
     return [p[0] if len(p) == 1 else np.concatenate(p) if p else nothing for p in own]
 
 
-#: Rows of an Arrow batch at most, as rows are whole texts.
-ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on sends Python at most ROWS rows at a time."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= ROWS:
-        conf.set(name, str(ROWS))
-    return df
-
-
 def batches(stream: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of record batches with the texts of a column, null as empty, that have about BYTES
-    bytes of text or a single row."""
+    bytes of text or a single row. The batches themselves are as large as the session says, in rows and
+    in bytes."""
     for whole in stream:
         at, group = 0, np.cumsum(np.asarray(pc.binary_length(whole.column(column)).fill_null(0), np.int64)) // BYTES
         for cut in [*np.flatnonzero(np.diff(group)) + 1, whole.num_rows]:

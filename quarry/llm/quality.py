@@ -191,7 +191,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFr
     """id, the columns to keep, and x, the texts' numbers."""
     if taken := {"id", "x"} & {k.lower() for k in keep}:
         raise ValueError(f"columns to keep can't be named {sorted(taken)}")
-    own = pretokens.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(k).alias(f"__keep_{n}") for n, k in enumerate(keep)])
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(k).alias(f"__keep_{n}") for n, k in enumerate(keep)])
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream, "__text"):

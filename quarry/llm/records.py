@@ -149,7 +149,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     path = path or default_path()
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; records have whole numbers as ids")
-    own = pretokens.small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place")))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(RANGES, max(1, -(-total // file_bytes)))
     key = [F.asc_nulls_first("id"), F.xxhash64("text"), F.col("place")]

@@ -170,7 +170,7 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], Iterable[
     """id, score, and the columns to keep."""
     if taken := {"id", "score"} & {k.lower() for k in keep}:
         raise ValueError(f"columns to keep can't be named {sorted(taken)}")
-    own = pretokens.small_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(k).alias(f"__keep_{n}") for n, k in enumerate(keep)])
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(k).alias(f"__keep_{n}") for n, k in enumerate(keep)])
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
@@ -203,4 +203,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
         for part, texts in pretokens.batches(stream, text_col):
             yield part.filter(pa.array([one(t) < threshold for t in texts]))
 
-    return pretokens.small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

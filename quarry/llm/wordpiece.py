@@ -175,5 +175,5 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    own = pretokens.small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
