@@ -50,6 +50,27 @@ def test_blocks(spark, monkeypatch):
     assert rows_of(near_dup.join(frame(spark, rows)), "id", "class_id", "n_links") == brute(rows)[0]
 
 
+@pytest.mark.parametrize("block", [500, 5])
+def test_chains(spark, monkeypatch, block):
+    """Texts that are linked to their neighbours alone, in one class: buckets with members that are
+    unlike their leader, and members that are like neither. Other chains stand beside it."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng, rows = np.random.default_rng(12), []
+    for chain in range(3):
+        text = [f"w{chain}x{k}" for k in rng.integers(0, 10**6, 400)]
+        rows += [(1000 * chain + k, " ".join(text[4 * k : 4 * k + 100])) for k in range(60)]
+    rows += [(5000 + k, rows[k][1]) for k in range(0, 60, 7)]
+    got = near_dup.join(frame(spark, rows))
+    assert rows_of(got, "id", "class_id", "n_links") == brute(rows)[0]
+    assert {r.class_id for r in got.collect()} == {0, 1000, 2000}
+
+
+def test_ids_of_another_type(spark):
+    rows = [("b", "one two three four five six"), ("a", "One two three four five six"), (None, "other"), ("c", None)]
+    got = near_dup.join(spark.createDataFrame(rows, "name string, text string"), "name")
+    assert rows_of(got, "id", "class_id", "n_links") == sorted([("b", "a", 1), ("a", "a", 1), (None, None, 0), ("c", "c", 0)], key=repr)
+
+
 def test_deduplicate(odd):
     out = near_dup.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == brute(odd_texts())[1]
