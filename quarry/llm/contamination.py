@@ -16,7 +16,7 @@ have, for some start, every term at most `slop` places from its own.
 Rows are told apart by a number that is given in the one scan that makes the index, so rows that
 repeat spread over the buckets like any others, and a common term or passage over all tasks; what one
 task must hold together is a single row. The tables about the items are broadcast only when they have
-at most BROADCAST rows, of no more than ten words each; beyond that Spark joins them as it sees fit.
+at most BROADCAST rows and BROADCAST_BYTES, both counted; beyond that Spark joins them as it sees fit.
 
 Defined results: null texts have no words; empty and very long texts are read whole; rows with null
 or repeated ids have each their own result, and rows that tie on all columns the same one; null
@@ -29,18 +29,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quarry.llm.common import ascii_lower, bucketed, row_key, settings, unused, without, words, written
 
 WINDOW = 10
-BROADCAST = 1_000_000
+#: Rows and bytes of a table about the items that is broadcast, at most.
+BROADCAST, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Bytes of text that a bucket of the index is planned for, and buckets at most (Spark's own bound).
 BUCKET_BYTES, BUCKETS = 16 << 20, 100_000
 
 
-def _small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
-    """df, to be broadcast if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(df: DataFrame) -> Column:
+    """About as many bytes as a row takes."""
+    each = F.lit(16)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, ArrayType):
+            each = each + F.octet_length(F.array_join(f.name, " ")) + 16 * F.size(f.name)
+        else:
+            each = each + (F.octet_length(f.name) + 16 if isinstance(f.dataType, StringType) else F.lit(8))
+    return each
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST rows of BROADCAST_BYTES together."""
+    n, size = df.limit(BROADCAST + 1).agg(F.count("*"), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST and size <= BROADCAST_BYTES else df
 
 
 class Items:

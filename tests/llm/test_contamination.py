@@ -45,9 +45,9 @@ def test_report(spark, odd, items):
     assert got(odd, benchmark) == want and any(r[2] for r in want)
 
 
-def test_without_broadcast(spark, odd, items, monkeypatch):
-    monkeypatch.setattr(contamination, "BROADCAST", 0)
-    monkeypatch.setattr(contamination._small, "__defaults__", (0,))
+@pytest.mark.parametrize("bound", [("BROADCAST", 0), ("BROADCAST_BYTES", 100)])
+def test_without_broadcast(spark, odd, items, monkeypatch, bound):
+    monkeypatch.setattr(contamination, *bound)
     assert got(odd, spark.createDataFrame(items, "item_id long, text string")) == brute(odd_texts(), items)
 
 
