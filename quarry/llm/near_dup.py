@@ -16,8 +16,8 @@ steps:
    of the nodes are cut into shingles, every pair of a component goes through the same pruning, and
    what lasts is verified by the exact Jaccard similarity.
 
-Buckets and components of more than BLOCK members are cut into blocks, and each pair of blocks is a
-group of its own that any task may take; pairs are counted where they are found and never become
+Buckets and components of more than BLOCK members, or of more shingles than BLOCK_BYTES hold, are cut
+into blocks, and each pair of blocks is a group of its own that any task may take; pairs are counted where they are found and never become
 rows. So a hot group costs the tasks that its pairs need, in bounded memory each, and rows in
 proportion to members times blocks. At similarity 0.8 a pair is missed by all bands with a
 probability of 5e-8, and by the pruning with at most about TOLERANCE a step.
@@ -49,7 +49,8 @@ from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
-BLOCK = 500
+#: Members of a block, and bytes of their shingles, that blocks are planned for.
+BLOCK, BLOCK_BYTES = 500, 16 << 20
 #: Pairs that are compared together, words whose hashes a worker keeps, and sets in its forest.
 PAIRS, KEPT, TREES = 100_000, 200_000, 200_000
 
@@ -333,7 +334,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """set, other, links: rows whose other is null add to a set's links (to documents of other
     sets), the others are edges, a spanning forest with some over. nodes: set, component, key (of
-    a document that has it), copies."""
+    a document that has it), copies, n (shingles)."""
     least, ratio = least_matches(threshold, tolerance), Fraction(str(threshold))
 
     def fetch(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,11 +377,11 @@ def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, to
             )
 
     texts = docs.groupBy("key").agg(F.first("text").alias("text"))  # rows may repeat id and text
-    total = nodes.groupBy("component").agg(F.count("*").alias("total"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    total = nodes.groupBy("component").agg(blocks.alias("total"))  # blocks of each
     own = written(nodes.join(total, "component"), "nodes")
-    own = texts.join(own, "key").select("set", "component", "copies", "total", "text").mapInArrow(fetch, "set binary, component binary, copies long, total long, shingles binary, sig binary")
-    blocks = _blocks("total")
-    dealt = _dealt(own, "component", _one_of(blocks), F.sequence(F.lit(0), blocks - 1))
+    own = texts.join(own, "key").select("set", "component", "copies", "total", "text").mapInArrow(fetch, "set binary, component binary, copies long, total int, shingles binary, sig binary")
+    dealt = _dealt(own, "component", _one_of(F.col("total")), F.sequence(F.lit(0), F.col("total") - 1))
     return dealt.select("component", "p", "q", "side", "set", "copies", "shingles", "sig").mapInArrow(verify, "set binary, other binary, links long")
 
 
@@ -391,12 +392,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     with scope(docs.sparkSession):
         with scope(docs.sparkSession):
             full = written(signatures(docs, id_col, text_col), "signatures")
-            sets = full.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+            sets = full.filter("set is not null").groupBy("set").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
             sets = written(sets, "sets", outer=1)
             own = written(full.select("row", "id", "key", "set"), "rows", outer=2)
         with scope(docs.sparkSession):
             nodes = components(candidates(sets, threshold))
-            nodes = nodes.withColumnRenamed("node", "set").join(sets.select("set", F.col("first.key").alias("key"), "copies"), "set")
+            nodes = nodes.withColumnRenamed("node", "set").join(sets.select("set", F.col("first.key").alias("key"), "copies", "n"), "set")
             nodes = written(nodes, "nodes", outer=1)
         found = written(verified(_texts(docs, id_col, text_col).select("key", "text"), nodes, threshold), "links")
         classes = components(found.filter("other is not null").select(F.col("set").alias("u"), F.col("other").alias("v")))

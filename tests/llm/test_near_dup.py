@@ -43,9 +43,10 @@ def test_join(odd, empty):
     assert near_dup.join(empty).collect() == []
 
 
-def test_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [("BLOCK", 7), ("BLOCK_BYTES", 3000)])
+def test_blocks(spark, monkeypatch, bound):
     """Groups of several blocks, in buckets and in components, lose and double no pair."""
-    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, *bound)
     rows = odd_texts()[-100:]
     assert rows_of(near_dup.join(frame(spark, rows)), "id", "class_id", "n_links") == brute(rows)[0]
 
