@@ -63,12 +63,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
         store.delete(at, True)
 
 
-def written(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
+def written(df: DataFrame, name: str, outer: int = 0, compression: str | None = None) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read again: lineage ends
-    there, a lost executor costs no recomputation, and Spark knows the table's size."""
+    there, a lost executor costs no recomputation, and Spark knows the table's size. Tables of
+    texts take less room with zstd than with what the session compresses by."""
     spark = df.sparkSession
     path = shared_path(spark, name, outer)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
