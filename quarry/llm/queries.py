@@ -35,26 +35,28 @@ WITH d AS (
 ), p(phrase, label) AS (VALUES {phrases}), t(name, label, notice) AS (VALUES {templates}),
 t2 AS (SELECT name, label, list_distinct(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tw, len(regexp_extract_all(lower(notice), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n FROM t),
 m AS (
-  SELECT doc_id, s - 1 AS s, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM w) , p
+  SELECT doc_id, s - 1 AS s, label FROM (SELECT doc_id, w, phrase, label, unnest(range(1, len(w) + 1)) AS s FROM w, p WHERE contains(x, string_split(phrase, ' ')[1]))
   WHERE array_to_string(w[s:s + len(string_split(phrase, ' ')) - 1], ' ') = phrase
 ), b AS (
   SELECT doc_id, count(*) AS n, min(s) AS a, max(s) AS z, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM m GROUP BY doc_id
+), f AS (
+  SELECT doc_id, x, name, label, tw, n, ceil({threshold} * len(tw) - 1e-9) AS needed FROM w, t2 WHERE len(list_intersect(w, tw)) >= ceil({threshold} * len(tw) - 1e-9)
 ), lines AS (
   SELECT doc_id, ln, fw, list_distinct(fw) AS lw
-  FROM (SELECT doc_id, generate_subscripts(string_split(x, chr(10)), 1) AS ln, regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS fw FROM d)
+  FROM (SELECT doc_id, generate_subscripts(string_split(x, chr(10)), 1) AS ln, regexp_extract_all(unnest(string_split(x, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS fw FROM (SELECT DISTINCT doc_id, x FROM f))
 ), line_hit AS (
-  SELECT doc_id, name, ln, label, len(list_intersect(lw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines, t2
-  WHERE len(list_intersect(lw, tw)) >= ceil({threshold} * len(tw) - 1e-9)
+  SELECT doc_id, name, ln, label, len(list_intersect(lw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM lines JOIN f USING (doc_id)
+  WHERE len(lw) >= needed AND len(list_intersect(lw, tw)) >= needed
 ), lw AS (
   SELECT doc_id, flatten(list(list_transform(fw, lambda x: ln) ORDER BY ln)) AS lines, flatten(list(fw ORDER BY ln)) AS w FROM lines GROUP BY doc_id
 ), runs AS (
-  SELECT doc_id, name, label, tw, w[s:s + n - 1] AS rw, lines[s] AS a, lines[least(s + n - 1, len(w))] AS z
-  FROM (SELECT doc_id, lines, w, name, label, tw, n, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS s FROM lw, t2 WHERE len(list_intersect(w, tw)) >= ceil({threshold} * len(tw) - 1e-9))
+  SELECT doc_id, name, label, tw, needed, w[s:s + n - 1] AS rw, lines[s] AS a, lines[least(s + n - 1, len(w))] AS z
+  FROM (SELECT doc_id, lines, w, name, label, tw, n, needed, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS s FROM lw JOIN f USING (doc_id))
 ), hit AS (
   SELECT doc_id, label, c FROM line_hit
   UNION ALL
   SELECT doc_id, label, len(list_intersect(rw, tw)) / CAST(len(tw) AS DOUBLE) AS c FROM runs r
-  WHERE a < z AND len(list_intersect(rw, tw)) >= ceil({threshold} * len(tw) - 1e-9)
+  WHERE a < z AND len(list_intersect(rw, tw)) >= needed
     AND NOT EXISTS (SELECT 1 FROM line_hit h WHERE h.doc_id = r.doc_id AND h.name = r.name AND h.ln BETWEEN r.a AND r.z)
 ), ls AS (
   SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id
