@@ -158,11 +158,15 @@ def report(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, slop: int = 0, keyed: bool = False,
 ) -> DataFrame:
-    """id, key, n_words, n_hit (words inside any exact match), n_items, items (sorted ids of exact
-    matches), n_near (items with proximity matches, exact ones among them): a row per row of docs;
-    key is null unless keyed."""
+    """What summary() tells of an index that is made for it."""
     items = Items(benchmark, item_col, item_text_col, window)
-    postings = index(docs, items, id_col, text_col, keyed)
+    return summary(items, index(docs, items, id_col, text_col, keyed), slop)
+
+
+def summary(items: Items, postings: DataFrame, slop: int = 0) -> DataFrame:
+    """id, key, n_words, n_hit (words inside any exact match), n_items, items (sorted ids of exact
+    matches), n_near (items with proximity matches, exact ones among them): a row per row indexed;
+    key is null unless the index is keyed. An index can be asked again, as with another slop."""
     found = matches(items, postings, slop)
     exact = found.filter("exact")
     hit = exact.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))

@@ -105,6 +105,13 @@ def test_no_posting_is_moved(spark, odd, items, slop):
     assert plan.count("Bucketed: true") == 3 and "Bucketed: false" not in plan and "hashpartitioning" not in plan
 
 
+def test_an_index_is_asked_again(spark, odd, items):
+    own = contamination.Items(spark.createDataFrame(items, "item_id long, text string"))
+    postings = contamination.index(odd, own)
+    for slop in (0, 2, 1):
+        assert rows_of(contamination.summary(own, postings, slop), "id", "n_near") == brute_near(odd_texts(), items, slop)
+
+
 def test_ids_of_another_type(spark):
     docs = spark.createDataFrame([("a", "one two three"), ("b", "two"), (None, None)], "doc_id string, text string")
     got = contamination.report(docs, spark.createDataFrame([("i", "one two")], "item_id string, text string"))
