@@ -87,6 +87,22 @@ class Model:
         return score
 
 
+class _Sums:
+    """For each of n groups, the sum of the values at its places; made once for many values."""
+
+    def __init__(self, group: np.ndarray, place: np.ndarray, n: int):
+        order = np.argsort(group, kind="stable")
+        size = np.bincount(group, minlength=n)
+        self.n, self.some = n, np.flatnonzero(size)
+        self.places, self.starts = place[order], (np.cumsum(size) - size)[self.some]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(values[self.places], self.starts)
+        return out
+
+
 def constant(share: float) -> Model:
     """What there is to say with labels of one class or none."""
     return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 50.0 if share else -50.0)
@@ -114,16 +130,17 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     column[kept] = np.arange(len(kept))
     own = [c[c >= 0] for c in (column[grams.places(t)] for t in texts)]
     rows, columns = np.repeat(np.arange(len(own), dtype=np.int32), [len(c) for c in own]), np.concatenate(own)
-    del grams, column
+    del grams, column, own
+    by_row, by_column = _Sums(rows, columns, len(texts)), _Sums(columns, rows, len(kept))
+    del rows, columns
     scale = weights / weights.sum()
 
     beta, b0 = np.zeros(len(kept)), float(np.log(share / (1 - share)))
     m, v, rate = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0.05
-    values = r[columns]
     for step in range(1, STEPS + 1):
-        z = b0 + np.bincount(rows, values * beta[columns], len(own))
+        z = b0 + by_row(r * beta)
         error = scale * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels)
-        gradient = np.append(np.bincount(columns, values * error[rows], len(kept)) + PENALTY * beta, error.sum())
+        gradient = np.append(r * by_column(error) + PENALTY * beta, error.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         beta, b0 = beta - move[:-1], b0 - move[-1]
