@@ -56,7 +56,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tri
     key = row_key(F.col(id_col), F.col(text_col)) if keyed else F.lit(None).cast("binary")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("lowered"), key.alias("key"))
     with scope(docs.sparkSession):
-        cut = written(base.select("row", "id", "key", F.sha2(F.col("lowered"), 256).alias("text_sha256"), chunks(F.col("lowered")).alias("chunks")), "chunks")
+        cut = written(base.select("row", "id", "key", F.sha2(F.col("lowered"), 256).alias("text_sha256"), chunks(F.col("lowered")).alias("chunks")), "chunks", compression="zstd")
         of = identifier(cut, tried)
         own = cut.select("row", "id", "text_sha256", F.transform("chunks", lambda c: of(c)).alias("recipe"), "key")
         return written(own, "recipes", outer=1)
