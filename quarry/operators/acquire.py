@@ -23,6 +23,14 @@ def repositories(pages: DataFrame) -> DataFrame:
     return own.withColumns({"slug": text.slug(F.col("full_name")), "contents_url": text.contents_root(F.col("contents_url"))})
 
 
+def readable(pages: DataFrame) -> DataFrame:
+    """pages, if the body of each is JSON; else an error, as what an unreadable page lists is lost."""
+    lost = [r.page for r in pages.filter(F.from_json("body", PAGE).isNull()).select("page").limit(10).collect()]
+    if lost:
+        raise ValueError(f"pages {lost} of the search are no JSON")
+    return pages
+
+
 def new_repositories(found: DataFrame, seen: DataFrame, order=("page", "place")) -> DataFrame:
     """Each repository once, where it first stands, unless it was seen before."""
     first = Window.partitionBy("full_name").orderBy(*order)

@@ -28,7 +28,7 @@ def run(spark: SparkSession, settings: Acquire, token: str | None = None, base:
     options = {k: v for k, v in (("token", token), ("replies", replies)) if v}
     pages = written(github.search(spark, settings.query, maxPages=settings.max_pages, base=base, **options), "pages")
     known = f"{settings.output_dir}/.seen-repos"
-    new = written(acquire.new_repositories(acquire.repositories(pages), files.seen(spark, known)), "new")
+    new = written(acquire.new_repositories(acquire.repositories(acquire.readable(pages)), files.seen(spark, known)), "new")
 
     def lister(level: DataFrame) -> DataFrame:
         return acquire.listed(level.join(github.fetch(level, token, settings.concurrency, replies), "url"), "slug")

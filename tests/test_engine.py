@@ -116,6 +116,13 @@ def test_entries(spark):
     assert sorted(str(r.type) for r in got) == ["dir", "file", "symlink"]
 
 
+def test_unreadable_pages(spark):
+    pages = spark.createDataFrame([(1, '{"items": []}'), (2, "{}"), (3, "<html>")], "page int, body string")
+    assert acquiring.readable(pages.filter("page < 3")).count() == 2 and acquiring.repositories(pages).collect() == []
+    with pytest.raises(ValueError, match="3"):
+        acquiring.readable(pages)
+
+
 def test_seen(spark, tmp_path):
     path = str(tmp_path / "seen")
     assert files.seen(spark, path).collect() == []
