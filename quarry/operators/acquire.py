@@ -25,7 +25,7 @@ def repositories(pages: DataFrame) -> DataFrame:
 
 def readable(pages: DataFrame) -> DataFrame:
     """pages, if the body of each is JSON; else an error, as what an unreadable page lists is lost."""
-    lost = [r.page for r in pages.filter(F.from_json("body", PAGE).isNull()).select("page").limit(10).collect()]
+    lost = [r.page for r in pages.filter(F.from_json("body", "map<string,string>").isNull()).select("page").limit(10).collect()]
     if lost:
         raise ValueError(f"pages {lost} of the search are no JSON")
     return pages
