@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,14 +120,23 @@ def test_scores_depend_on_texts_alone(spark, corpus):
     assert sorted(s for _, s in rows_of(toxicity.score(other, model), "id", "score")) == sorted(s for _, s in rows_of(toxicity.score(corpus, model), "id", "score"))
 
 
-def naive_toxicity(texts, labels, weights):
-    """The scores of the model over n-grams themselves, in dictionaries and loops."""
-    grams = [{t.lower()[k : k + n] for n in toxicity.ORDERS for k in range(len(t) - n + 1)} for t in texts]
-    every = sorted(set().union(*grams))
+def grams_of(text):
+    low = text.lower()
+    return {low[k : k + n] for n in toxicity.ORDERS for k in range(len(low) - n + 1)}
+
+
+def naive_toxicity(texts, labels, weights, every):
+    """The scores of the texts `every` by the model over n-grams themselves, in dictionaries and loops,
+    and the number of n-grams it keeps."""
+    grams = [grams_of(t) for t in texts]
+    count = [Counter(), Counter()]
+    for own, y in zip(grams, labels, strict=True):
+        count[y].update(own)
+    known = sorted(set().union(*grams))
     n = [labels.count(0), labels.count(1)]
     ratio, strength = {}, {}
-    for g in every:
-        has = [sum(g in own for own, y in zip(grams, labels, strict=True) if y == k) for k in (0, 1)]
+    for g in known:
+        has = [count[k][g] for k in (0, 1)]
         q, p = ((has[k] + toxicity.SMOOTH) / (n[k] + 2 * toxicity.SMOOTH) for k in (0, 1))
         both = (sum(has) + toxicity.SMOOTH) / (sum(n) + 2 * toxicity.SMOOTH)
         if abs(p - q) >= toxicity.SURE * (both * (1 - both) * (1 / n[0] + 1 / n[1])) ** 0.5:
@@ -137,9 +147,13 @@ def naive_toxicity(texts, labels, weights):
     beta, b0 = dict.fromkeys(kept, 0.0), float(np.log(share / (1 - share)))
     m, v = dict.fromkeys([*kept, None], 0.0), dict.fromkeys([*kept, None], 0.0)
     score = lambda own: 1 / (1 + np.exp(-(b0 + sum(ratio[g] * beta[g] for g in kept if g in own))))
+    held = [[g for g in kept if g in own] for own in grams]
     for step in range(1, toxicity.STEPS + 1):
-        errors = [w / total * (score(own) - y) for own, y, w in zip(grams, labels, weights, strict=True)]
-        slope = {g: sum(e * ratio[g] for own, e in zip(grams, errors, strict=True) if g in own) + toxicity.PENALTY * beta[g] for g in kept}
+        errors = [w / total * (1 / (1 + np.exp(-(b0 + sum(ratio[g] * beta[g] for g in own)))) - y) for own, y, w in zip(held, labels, weights, strict=True)]
+        slope = {g: toxicity.PENALTY * beta[g] for g in kept}
+        for own, e in zip(held, errors, strict=True):
+            for g in own:
+                slope[g] += e * ratio[g]
         slope[None] = sum(errors)
         move = {}
         for g, d in slope.items():
@@ -147,7 +161,7 @@ def naive_toxicity(texts, labels, weights):
             move[g] = 0.05 * (m[g] / (1 - 0.9**step)) / (np.sqrt(v[g] / (1 - 0.999**step)) + 1e-9)
         b0 -= move.pop(None)
         beta = {g: beta[g] - move[g] for g in kept}
-    return [score(own) for own in grams], len(kept)
+    return [score(grams_of(t)) for t in every], len(kept)
 
 
 def test_toxicity_against_a_naive_fit(monkeypatch):
@@ -160,9 +174,9 @@ def test_toxicity_against_a_naive_fit(monkeypatch):
     weights = [1.0 + 0.5 * y for y in labels]
     grams = toxicity.NGrams()
     places = [set(grams.places(t).tolist()) for t in texts]
-    exact = [{t.lower()[k : k + n] for n in toxicity.ORDERS for k in range(len(t) - n + 1)} for t in texts]
+    exact = [grams_of(t) for t in texts]
     assert len(set().union(*places)) == len(set().union(*exact))  # no two share a place
-    want, kept = naive_toxicity(texts, labels, weights)
+    want, kept = naive_toxicity(texts, labels, weights, texts)
     model = toxicity.fit(texts, np.array(labels), np.array(weights))
     assert len(model.places) == kept > 20
     assert np.allclose([model.scorer()(t) for t in texts], want, atol=1e-4)
@@ -212,38 +226,53 @@ def naive_quadrants(x, y, g, h, shape):
     return best, gain
 
 
-def test_quality_against_naive_boosting(monkeypatch):
-    for name, value in (("ROUNDS", 4), ("PAIR_ROUNDS", 3), ("PAIRS", 2), ("BINS", 6), ("COARSE", 4), ("LEAST", 0.5)):
-        monkeypatch.setattr(quality, name, value)
-    rng = np.random.default_rng(9)
-    x = rng.normal(size=(80, 3))
-    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
-    w = 1 + rng.random(80)
-    model = quality.fit(x, y, w)
+def naive_quality(x, y, w, every):
+    """Boosting by loops over rows, by the constants of the module: the scores of the rows `every`, the
+    features' tables and the pairs' tables."""
     w = w * (len(y) / w.sum())
     share = float((w * y).sum() / w.sum())
-    bins = [[int(sum(v >= e for e in np.unique(np.quantile(x[:, k], np.arange(1, 6) / 6)))) for v in x[:, k]] for k in range(3)]
-    rough = [[int(sum(v >= e for e in np.unique(np.quantile(x[:, k], np.arange(1, 4) / 4)))) for v in x[:, k]] for k in range(3)]
-    z = [float(np.log(share / (1 - share)))] * 80
+    place = lambda rows, n: [[int(sum(v >= e for e in np.unique(np.quantile(x[:, k], np.arange(1, n) / n)))) for v in rows[:, k]] for k in range(x.shape[1])]
+    size = lambda n: [len(np.unique(np.quantile(x[:, k], np.arange(1, n) / n))) + 1 for k in range(x.shape[1])]
+    bins, rough, wide, shape = place(x, quality.BINS), place(x, quality.COARSE), size(quality.BINS), size(quality.COARSE)
+    own, own_rough = place(every, quality.BINS), place(every, quality.COARSE)
+    z, out = [float(np.log(share / (1 - share)))] * len(y), [float(np.log(share / (1 - share)))] * len(every)
     slopes = lambda: zip(*[(wi * (1 / (1 + np.exp(-zi)) - yi), wi * (1 / (1 + np.exp(-zi))) * (1 - 1 / (1 + np.exp(-zi)))) for wi, yi, zi in zip(w, y, z, strict=True)], strict=True)
     clip = lambda v: quality.RATE * max(-4.0, min(4.0, v))
-    tables = [[0.0] * 6 for _ in range(3)]
-    for _ in range(4):
-        for k in range(3):
-            step = [clip(v) for v in naive_tree(bins[k], *slopes(), 6)]
+    tables = [[0.0] * n for n in wide]
+    for _ in range(quality.ROUNDS):
+        for k in range(len(wide)):
+            step = [clip(v) for v in naive_tree(bins[k], *slopes(), wide[k])]
             tables[k] = [a + b for a, b in zip(tables[k], step, strict=True)]
             z = [a + step[b] for a, b in zip(z, bins[k], strict=True)]
-    assert np.allclose(model.tables, tables)
-    gains = {(a, b): naive_quadrants(rough[a], rough[b], *slopes(), (4, 4))[1] for a, b in ((0, 1), (0, 2), (1, 2))}
-    chosen = sorted(gains, key=lambda ab: (-gains[ab], ab))[:2]
-    pairs = {ab: np.zeros((4, 4)) for ab in chosen}
-    for _ in range(3):
+    able = [k for k, n in enumerate(shape) if n > 1]
+    gains = {(a, b): naive_quadrants(rough[a], rough[b], *slopes(), (shape[a], shape[b]))[1] for a in able for b in able if a < b}
+    chosen = sorted(gains, key=lambda ab: (-gains[ab], ab))[: quality.PAIRS]
+    pairs = {(a, b): np.zeros((shape[a], shape[b])) for a, b in chosen}
+    for _ in range(quality.PAIR_ROUNDS):
         for a, b in chosen:
-            step = [[clip(v) for v in row] for row in naive_quadrants(rough[a], rough[b], *slopes(), (4, 4))[0]]
+            step = [[clip(v) for v in row] for row in naive_quadrants(rough[a], rough[b], *slopes(), (shape[a], shape[b]))[0]]
             pairs[a, b] += step
             z = [v + step[i][j] for v, i, j in zip(z, rough[a], rough[b], strict=True)]
-    assert [(a, b) for a, b, _ in model.pairs] == chosen and all(np.allclose(t, pairs[a, b]) for a, b, t in model.pairs)
-    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(z))))
+    for k, table in enumerate(tables):
+        out = [v + table[i] for v, i in zip(out, own[k], strict=True)]
+    for (a, b), table in pairs.items():
+        out = [v + table[i][j] for v, i, j in zip(out, own_rough[a], own_rough[b], strict=True)]
+    return 1 / (1 + np.exp(-np.array(out))), tables, pairs
+
+
+def test_quality_against_naive_boosting(monkeypatch):
+    for name, value in (("ROUNDS", 4), ("PAIR_ROUNDS", 3), ("PAIRS", 2), ("BINS", 6), ("COARSE", 4), ("LEAST", 0.5)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    w = 1 + rng.random(80)
+    model = quality.fit(x, y, w)
+    more = rng.normal(size=(30, 3))
+    scores, tables, pairs = naive_quality(x, y, w, more)
+    assert np.allclose(model.tables, tables)
+    assert [(a, b) for a, b, _ in model.pairs] == list(pairs) and all(np.allclose(t, pairs[a, b]) for a, b, t in model.pairs)
+    assert np.allclose(model.score(more), scores)
 
 
 def test_sample_is_bounded_in_characters(corpus, monkeypatch):
