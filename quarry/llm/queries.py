@@ -153,8 +153,12 @@ WITH d AS (
 ), bt AS (
   SELECT g, n, unnest(string_split(g, ' ')) AS word, unnest(range(n)) AS k FROM (SELECT DISTINCT g, n FROM bw)
 ), dt AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), rare AS (
+  SELECT g, n, arg_min(word, coalesce(df, 0)) AS word FROM bt LEFT JOIN (SELECT word, count(*) AS df FROM dt GROUP BY word) USING (word) GROUP BY g, n
+), own AS (
+  SELECT doc_id, g, n FROM (SELECT DISTINCT doc_id, g, n FROM rare JOIN dt USING (word)) JOIN d USING (doc_id) WHERE list_has_all(w, string_split(g, ' '))
 ), near AS (
-  SELECT DISTINCT doc_id, g, n FROM dt JOIN bt USING (word), (SELECT unnest([-1, 0, 1]) AS away)
+  SELECT DISTINCT doc_id, g, n FROM own JOIN bt USING (g, n) JOIN dt USING (doc_id, word), (SELECT unnest([-1, 0, 1]) AS away)
   GROUP BY doc_id, g, n, pos - k + away HAVING count(DISTINCT k) = n
 ), x AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN bw USING (g, n) GROUP BY doc_id
 ), h AS (
