@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -44,15 +45,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import pretokens
-from quarry.llm.common import byte_words, dropped, row_key, scope, written
+from quarry.llm.common import BYTE_GAP, BYTE_WORD, dropped, row_key, scope, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-9
 #: Members of a block, and bytes of their shingles, that blocks are planned for.
 BLOCK, BLOCK_BYTES = 500, 16 << 20
-#: Pairs that are compared together, words whose hashes a worker keeps, and sets in its forest.
-PAIRS, KEPT, TREES = 100_000, 200_000, 200_000
+#: Pairs that are compared together, and sets in a worker's forest.
+PAIRS, TREES = 100_000, 200_000
+#: Bytes that are hashed together; a longer word is hashed by itself.
+PART = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -70,27 +73,101 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    """The words' 64-bit hashes, from a bounded table of those seen."""
-    seen = pretokens.held("word hashes", dict)
-    new = [w for w in set(words) if w not in seen]
-    if len(seen) + len(new) > KEPT:
-        seen.clear()
-        new = set(words)
-    seen.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """The text's distinct shingles as sorted 64-bit hashes."""
-    h = np.concatenate([_hashed(found) for found in byte_words(text.encode().lower())] or [np.zeros(0, np.uint64)])
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
+class _Words:
+    """64-bit hashes of words, of all words of some bytes at once. A word's hash is the sum over its
+    bytes of a random number for the byte times a power of an odd base, modulo 2**64, mixed: the
+    difference of two running sums over the bytes, times a power of the base's inverse."""
+
+    def __init__(self):
+        rng = np.random.default_rng(20_240_502)
+        self.of = rng.integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | rng.integers(0, 2, 256, np.uint64)
+        self.base = int(rng.integers(1 << 32, 1 << 62)) | 1
+        self.wordly = np.array([bool(re.match(BYTE_WORD, bytes([b]))) for b in range(256)])
+        self.power = self.inverse = np.zeros(0, np.uint64)
+
+    def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words of raw, and where they begin."""
+        data = np.frombuffer(raw, np.uint8)
+        if len(data) + 1 > len(self.power):
+            own, back = np.full(len(data) + PART, self.base, np.uint64), np.full(len(data) + PART, pow(self.base, -1, 1 << 64), np.uint64)
+            own[0] = back[0] = 1
+            self.power, self.inverse = np.multiply.accumulate(own), np.multiply.accumulate(back)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = self.wordly[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.of[data] * self.power[: len(data)], out=sums[1:])
+        sizes = ends - starts
+        out = _mixed((sums[ends] - sums[starts]) * self.inverse[starts] + sizes.astype(np.uint64) * np.uint64(_MULTIPLIER))
+        for k in np.flatnonzero(sizes > PART):
+            out[k] = self.long(raw[starts[k] : ends[k]])
+        return out, starts
+
+    def long(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
+
+    def of_text(self, low: bytes) -> np.ndarray:
+        """The hashes of the words of a text of any length, some PART bytes at a time."""
+        found, at = [], 0
+        while at < len(low):
+            gap = re.compile(BYTE_GAP).search(low, at + PART) if at + PART < len(low) else None
+            to = gap.start() if gap else len(low)
+            if to - at > 2 * PART:  # the word that ends at `to` is long
+                inside = self.wordly[np.frombuffer(low, np.uint8, PART, at)]
+                begin = at + int(PART - inside[::-1].argmin()) if not inside.all() else at
+                found.append(self(low[at:begin])[0])
+                if to - begin > PART:
+                    found.append(np.array([self.long(low[begin:to])], np.uint64))
+                else:
+                    found.append(self(low[begin:to])[0])
+            else:
+                found.append(self(low[at:to])[0])
+            at = to
+        return np.concatenate([*found, np.zeros(0, np.uint64)])
+
+
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all runs of n words."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
-        out = out * np.uint64(_MULTIPLIER) + h[k : len(h) - n + 1 + k]
-    return np.unique(_mixed(out))
+        out = out * np.uint64(_MULTIPLIER) + words[k : len(words) - n + 1 + k]
+    return _mixed(out)
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+
+
+def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes."""
+    hashed = pretokens.held("word hashes", _Words)
+    low = [t.encode().lower() for t in texts]
+    out: list[np.ndarray | None] = [None] * len(texts)
+    groups, room = [[]], PART
+    for k, t in enumerate(low):
+        if len(t) >= PART:
+            words = hashed.of_text(t)
+            out[k] = _distinct(_rolled(words, min(size, max(1, len(words)))))
+            continue
+        if len(t) >= room:
+            groups.append([])
+            room = PART
+        groups[-1].append(k)
+        room -= len(t) + 1
+    for group in groups:
+        if not group:
+            continue
+        words, starts = hashed(b"\0".join([low[k] for k in group]))
+        begins = np.cumsum([0, *(len(low[k]) + 1 for k in group)])
+        ends = np.searchsorted(starts, begins)  # places of each text's words among all
+        runs = _rolled(words, size)
+        for k, a, b in zip(group, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = _distinct(runs[a : b - size + 1] if b - a >= size else _rolled(words[a:b], max(1, b - a)))
+    return out
 
 
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -241,7 +318,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream):
-            sets = [shingles(t) for t in texts]
+            sets = shingles(texts)
             full = [s for s in sets if len(s)]
             sig = iter(minhashes(full)) if full else iter(())
             own = [(xxhash.xxh3_128_digest(s.tobytes()), next(sig).tobytes()) if len(s) else (None, None) for s in sets]
@@ -339,7 +416,7 @@ def verified(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, to
 
     def fetch(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pretokens.batches(stream):
-            sets = [shingles(t) for t in texts]
+            sets = shingles(texts)
             sig = minhashes(sets) if sets else ()
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set", "component", "copies", "total")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], ["set", "component", "copies", "total", "shingles", "sig"])
 

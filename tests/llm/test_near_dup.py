@@ -123,10 +123,27 @@ def test_components(spark):
 
 
 def test_long_texts_in_parts(monkeypatch):
-    from quarry.llm import common
-
-    text = " ".join(f"w{k * k % 331}" for k in range(3000))
-    whole = near_dup.shingles(text)
-    monkeypatch.setattr(common, "PART", 100)
-    monkeypatch.setattr(near_dup, "KEPT", 50)
-    assert near_dup.shingles(text).tolist() == whole.tolist()
+    """Words are hashed alike wherever they stand and however a text is cut."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k * k % 331}" for k in range(3000)), "é " * 500 + "x" * 290 + " y" * 9, "a" * 180 + " " + "b" * 90 + " c", ",".join("".join(rng.choice(list("abÉ. "), 12)) for _ in range(400)), "", " . ", "one two", "z" * 5000]
+    whole = [x.tolist() for x in near_dup.shingles(texts)]
+    assert [x.tolist() for t in texts for x in near_dup.shingles([t])] == whole
+    assert [len(x) for x in whole] == [len(shingles(t)) for t in texts]
+    for part in (5001, 6000, 20_000):
+        monkeypatch.setattr(near_dup, "PART", part)
+        assert [x.tolist() for x in near_dup.shingles(texts)] == whole
+    monkeypatch.setattr(near_dup, "PART", 100)  # now some words are long
+    small = [x.tolist() for x in near_dup.shingles(texts)]
+    assert [len(x) for x in small] == [len(x) for x in whole] and small[0] == whole[0] and small[3] == whole[3]
+    assert [x.tolist() for t in texts for x in near_dup.shingles([t])] == small
+    assert near_dup.shingles(["q " * 70 + "x" * 290 + " y"])[0].tolist() == near_dup.shingles(["q " * 20 + "x" * 290 + " y"])[0].tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shingles_are_told_apart(seed):
+    """As many hashes as there are shingles, and in common what the texts have in common."""
+    rng = np.random.default_rng(seed)
+    texts = ["".join(rng.choice(list("abcabc  é-"), rng.integers(0, 400))) for _ in range(300)]
+    found, want = [set(x.tolist()) for x in near_dup.shingles(texts)], [shingles(t) for t in texts]
+    assert [len(x) for x in found] == [len(x) for x in want]
+    assert all(len(found[a] & found[b]) == len(want[a] & want[b]) for a in range(0, 300, 7) for b in range(300))
