@@ -55,7 +55,7 @@ BLOCK, BLOCK_BYTES = 500, 16 << 20
 #: Pairs that are compared together, and sets in a worker's forest.
 PAIRS, TREES = 100_000, 200_000
 #: Bytes that are hashed together; a longer word is hashed by itself.
-PART = 1 << 20
+PART = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
