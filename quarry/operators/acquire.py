@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.functions import text
-from quarry.functions.shared import written
+from quarry.functions.shared import shared_path
 
 PAGE = "items array<struct<full_name:string,contents_url:string>>"
 ENTRY = "type string, name string, path string, url string, size long, download_url string"
@@ -71,19 +72,32 @@ def expand(roots: DataFrame, lister: Callable[[DataFrame], DataFrame], max_depth
     """slug, depth and entry of every file below roots (slug, url), a level of folders at a time:
     lister gives the entries, with slug, of the folders (slug, url) of a level. Rows of its that have an
     error, if it has such a column, stand for folders that couldn't be listed, and are given too. A
-    folder is listed once however often it is linked; each level is a written table. Folders left
-    behind max_depth levels are an error; unset, there is no bound."""
-    level = written(roots.select("slug", "url").distinct(), "frontier")
-    done, files = level, None
+    folder is listed once however often it is linked; each level's entries and folders are written, to
+    a folder of one table, so that plans don't grow with the depth. Folders left behind max_depth levels
+    are an error; unset, there is no bound."""
+    spark, base = roots.sparkSession, shared_path(roots.sparkSession, "expanded")
+    folders, entries = StructType([roots.schema["slug"], roots.schema["url"]]), None
+
+    def read(schema: StructType, at: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{base}/{at}")
+
+    def frontier(found: DataFrame, depth: int) -> DataFrame:
+        found.select("slug", "url").distinct().write.parquet(f"{base}/folders/depth={depth}")
+        return read(folders, f"folders/depth={depth}")
+
+    level = frontier(roots, 0)
     for depth in itertools.count():
         if level.isEmpty():
             break
         if depth == max_depth:
             raise RuntimeError(f"folders are left below {max_depth} levels")
-        found = written(lister(level), "entries")
-        lost = F.col("error").isNotNull() if "error" in found.columns else F.lit(False)
-        own = found.filter((F.col("type") == "file") | lost).withColumn("depth", F.lit(depth))
-        files = own if files is None else files.unionByName(own)
-        level = written(found.filter("type = 'dir'").select("slug", "url").distinct().join(done, ["slug", "url"], "left_anti"), "frontier")
-        done = done.union(level)
-    return files if files is not None else lister(level).filter("false").withColumn("depth", F.lit(0))
+        found = lister(level)
+        entries = found.schema
+        found.write.parquet(f"{base}/entries/depth={depth}")
+        done = read(folders, "folders")
+        below = read(entries, f"entries/depth={depth}").filter("type = 'dir'").select("slug", "url")
+        level = frontier(below.join(done, ["slug", "url"], "left_anti"), depth + 1)
+    if entries is None:
+        return lister(level).filter("false").withColumn("depth", F.lit(0))
+    found = read(StructType([*entries, StructField("depth", IntegerType())]), "entries")
+    return found.filter((F.col("type") == "file") | (F.col("error").isNotNull() if "error" in found.columns else F.lit(False)))

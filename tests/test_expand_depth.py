@@ -16,3 +16,14 @@ def test_no_level_is_left_out_silently(spark):
     assert acquire.expand(roots, lister, max_depth=4).count() == 4
     with pytest.raises(RuntimeError, match="left"):
         acquire.expand(roots, lister, max_depth=2)
+
+
+def test_a_deep_chain(spark):
+    """A hundred and twenty folders, one in the other, with a file in each."""
+    roots = spark.createDataFrame([("a__b", "0")], "slug string, url string")
+
+    def lister(level):
+        kinds = level.select("slug", F.explode(F.array(F.lit("file"), F.lit("dir"))).alias("type"), (F.col("url").cast("int") + 1).alias("n"))
+        return kinds.filter("type = 'file' or n < 120").select("slug", "type", F.col("n").cast("string").alias("url"))
+
+    assert sorted(r.depth for r in acquire.expand(roots, lister).select("depth").collect()) == list(range(120))
