@@ -37,6 +37,8 @@ SAMPLE, LONGEST, MOST_CHARS, FEATURES = 6000, 200_000, 48_000_000, 20_000
 SMOOTH, SURE, PENALTY, STEPS = 0.5, 5.0, 1e-4, 120
 #: Characters of a text in hand at a time.
 PART = 1 << 20
+#: Places that are summed at a time in the fit.
+AT_ONCE = 1 << 20
 
 
 class NGrams:
@@ -88,18 +90,22 @@ class Model:
 
 
 class _Sums:
-    """For each of n groups, the sum of the values at its places; made once for many values."""
+    """For each of n groups, the sum of the values at its places; made once for many values. Places
+    stand by group, and some AT_ONCE of them are summed at a time."""
 
-    def __init__(self, group: np.ndarray, place: np.ndarray, n: int):
-        order = np.argsort(group, kind="stable")
-        size = np.bincount(group, minlength=n)
-        self.n, self.some = n, np.flatnonzero(size)
-        self.places, self.starts = place[order], (np.cumsum(size) - size)[self.some]
+    def __init__(self, size: np.ndarray, places: np.ndarray):
+        self.n, self.some, self.places = len(size), np.flatnonzero(size), places
+        self.ends = np.cumsum(size)[self.some]
+        self.starts = self.ends - size[self.some]
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
-        if len(self.some):
-            out[self.some] = np.add.reduceat(values[self.places], self.starts)
+        at = 0
+        while at < len(self.some):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + AT_ONCE, "right")))
+            first, last = self.starts[at], self.ends[to - 1]
+            out[self.some[at:to]] = np.add.reduceat(values[self.places[first:last]], self.starts[at:to] - first)
+            at = to
         return out
 
 
@@ -129,10 +135,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
     own = [c[c >= 0] for c in (column[grams.places(t)] for t in texts)]
-    rows, columns = np.repeat(np.arange(len(own), dtype=np.int32), [len(c) for c in own]), np.concatenate(own)
-    del grams, column, own
-    by_row, by_column = _Sums(rows, columns, len(texts)), _Sums(columns, rows, len(kept))
-    del rows, columns
+    del grams, column
+    size, columns = np.array([len(c) for c in own], np.int64), np.concatenate(own)
+    del own
+    pairs = columns.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(size), dtype=np.uint64), size)
+    pairs.sort()  # in place
+    by_row = _Sums(size, columns)
+    by_column = _Sums(np.bincount(columns, minlength=len(kept)), pairs.view(np.uint32)[::2].astype(np.int32))  # the lower half is the row
+    del pairs, columns
     scale = weights / weights.sum()
 
     beta, b0 = np.zeros(len(kept)), float(np.log(share / (1 - share)))
