@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from quarry.llm import pretokens
 
 ORDERS, BITS = (3, 4, 5), 22
-SAMPLE, LONGEST, MOST_CHARS, FEATURES = 6000, 200_000, 48_000_000, 20_000
+SAMPLE, LONGEST, MOST_CHARS, FEATURES = 4000, 200_000, 48_000_000, 20_000
 SMOOTH, SURE, PENALTY, STEPS = 0.5, 5.0, 1e-4, 120
 #: Characters of a text in hand at a time.
 PART = 1 << 20
