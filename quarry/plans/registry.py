@@ -433,7 +433,8 @@ def next_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a sequence of ids, of eight kinds of brackets and of names; its balance."""
-    ids = F.transform("embedding", lambda x: F.when(F.floor(F.abs(x) * 1000) % 5 == 0, 201).otherwise(101 + F.floor(F.abs(x) * 1000) % 8).cast("int"))
+    thousand = F.lit(1000).cast("float")  # the product is a float, as in the SQL; a double can be just below the same whole number
+    ids = F.transform("embedding", lambda x: F.when(F.floor(F.abs(x) * thousand) % 5 == 0, 201).otherwise(101 + F.floor(F.abs(x) * thousand) % 8).cast("int"))
     own = _table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))
     return metrics.with_balance(own).select("vec_id", F.round("balance", 6).alias("balance"), "strict")
 
